@@ -53,14 +53,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def unique_per_owner(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (owner, value) pairs in order of owner and value."""
+def count_per_owner(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (owner, value) pairs in order of owner and value, and how often each occurs."""
     order = np.lexsort((values, owner))
     owner, values = owner[order], values[order]
-    if len(owner):
-        new = np.r_[True, (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])]
-        owner, values = owner[new], values[new]
-    return owner, values
+    heads = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])]) if len(owner) else np.zeros(0, np.int64)
+    return owner[heads], values[heads], np.diff(np.r_[heads, len(owner)])
+
+
+def unique_per_owner(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return count_per_owner(owner, values)[:2]
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -70,14 +70,14 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     spark = docs.sparkSession
     digests = known_digests(spark, known)
     sizes = F.array(*[F.lit(int(r["size"])) for r in digests.select("size").distinct().collect()])  # of the list, not of the data
-    units = docs.filter("text IS NOT NULL").select("doc_id", canonical_lines(F.col("text")).alias("t"))
+    units = docs.filter("text IS NOT NULL").select("doc_id", canonical_lines(F.col("text")).alias("t"), F.monotonically_increasing_id().alias("row"))
     whole = F.trim(F.regexp_replace("t", r"[ \n]+", " "))
     lines = F.filter(F.transform(F.split("t", "\n", -1), lambda x: F.trim(x)), lambda x: F.array_contains(sizes, F.length(x)))
     found = F.concat(
         F.array(F.struct(F.lit("text").alias("scope"), whole.alias("u"))),
         F.transform(lines, lambda x: F.struct(F.lit("line").alias("scope"), x.alias("u"))),
     )
-    found = units.select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(found).alias("f")).filter(F.array_contains(sizes, F.length("f.u")))
+    found = units.select("doc_id", "row", F.explode(found).alias("f")).filter(F.array_contains(sizes, F.length("f.u")))
     hashed = found.select("doc_id", "row", "f.scope", F.sha2("f.u", 256).alias("digest"))
     hits = hashed.join(digests.select("digest", "license_id"), "digest")
     return hits.groupBy("row", "doc_id", "scope", "license_id").agg(F.count("*").alias("n")).drop("row")
