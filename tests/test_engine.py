@@ -12,7 +12,7 @@ def pages(spark):
     page = lambda title, body: f"<h1>{title}</h1><div class='mw-parser-output'><p>About {title}.</p>{body}</div>"
     rows = [
         ("Sol", page("Sol", '<a href="/wiki/Luna">l</a><a href="/wiki/Nowhere">n</a>')), ("Luna", page("Luna", '<a href="/wiki/Sol">s</a><img src="//upload.wikimedia.org/wikipedia/commons/a/ab/L.svg">')),
-        ("Mar_Rojo", page("Mar Rojo", '<a href="/wiki/Sol">s</a>')), ("Astro", '<ul class="redirectText"><li><a href="/wiki/Sol">Sol</a></ul>'), ("Roto", '<ul class="redirectText"></ul>'),
+        ("Mar_Rojo", page("Mar Rojo", '<a href="/wiki/Sol">s</a>')), ("Astro", '<ul id="r" class="redirectText">to <a href="/wiki/Sol">Sol</a></ul>'), ("Roto", '<ul class="redirectText"></ul>'),
     ]
     return spark.createDataFrame(rows, "page string, html string")
 
