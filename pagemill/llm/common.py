@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.storage import materialise
@@ -96,10 +96,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
 
 
-#: A written table is broadcast if its rows, of so many bytes each, come to no more than this; else its join shuffles.
+#: A written table is broadcast if the sizes of its rows come to no more bytes than this; else its join shuffles.
 BROADCAST_BYTES = 48_000_000
 
 
-def small(table: DataFrame, row_bytes: int) -> DataFrame:
-    """``table`` (a written one, so that counting it is cheap), hinted for broadcast if it is checked to be small."""
-    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+def small(table: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``table`` (a written one, so that measuring it is cheap), hinted for broadcast if it is checked to be small."""
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    return F.broadcast(table) if (table.agg(F.sum(size.cast("double"))).first()[0] or 0) <= BROADCAST_BYTES else table

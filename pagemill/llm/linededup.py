@@ -126,7 +126,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """
     d, k = _keys()
     gone = dropped_lines(docs).groupBy(F.col("d").alias("__pm_gd"), F.col("k").alias("__pm_gk")).agg(F.collect_set("pos").alias("__pm_gone"))
-    gone = small(materialise(gone, "gone"), 80)
+    gone = small(materialise(gone, "gone"), 64 + 4 * F.size("__pm_gone"))
     rows = docs.withColumns({"__pm_d": d, "__pm_k": k})
     joined = rows.join(gone, (F.col("__pm_d") == F.col("__pm_gd")) & (F.col("__pm_k") == F.col("__pm_gk")), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__pm_gone", i))

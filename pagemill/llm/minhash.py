@@ -99,16 +99,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(key, sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Exact Jaccard of the candidate pairs of one group."""
-    own = {i: np.asarray(s) for i, s in zip(sets["id"], sets["s"])}
-    rows = []
-    for a, b in zip(pairs["a"], pairs["b"]):
-        x, y = own[a], own[b]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        jaccard = both / (len(x) + len(y) - both)
-        if jaccard >= JACCARD:
-            rows.append((a, b, jaccard))
-    return pd.DataFrame(rows, columns=["doc_a", "doc_b", "jaccard"])
+    """Exact Jaccard of the candidate pairs of one group: the shingles of a are marked, those of its partners counted."""
+    sets = sets.drop_duplicates("id").sort_values("id")
+    ids, lists = sets["id"].to_numpy(), sets["s"].tolist()
+    sizes = np.array([len(x) for x in lists], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    codes = np.unique(np.concatenate(lists), return_inverse=True)[1]
+    pairs = pairs.sort_values(["a", "b"])
+    left, right = np.searchsorted(ids, pairs["a"].to_numpy()), np.searchsorted(ids, pairs["b"].to_numpy())
+    heads = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
+    marked = np.zeros(codes.max() + 1, np.int64)
+    jaccard = np.empty(len(pairs))
+    for at, end in zip(heads, [*heads[1:], len(pairs)]):
+        own = codes[starts[left[at]] : starts[left[at]] + sizes[left[at]]]
+        marked[own] = 1
+        for lo in range(at, end, 2000):  # partners at a time
+            other = right[lo : min(end, lo + 2000)]
+            n = sizes[other]
+            ends = np.cumsum(n)
+            inside = marked[codes[np.arange(ends[-1]) + np.repeat(starts[other] - (ends - n), n)]]
+            both = np.add.reduceat(inside, ends - n)
+            jaccard[lo : lo + len(other)] = both / (len(own) + n - both)
+        marked[own] = 0
+    out = pd.DataFrame({"doc_a": ids[left], "doc_b": ids[right], "jaccard": jaccard})
+    return out[out["jaccard"] >= JACCARD]
 
 
 def similar_pairs(docs: DataFrame) -> DataFrame:
