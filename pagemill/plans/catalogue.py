@@ -611,8 +611,12 @@ def page_rewrite(spark, sf_dir):
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(sf_dir)
+    """The table events as a stream of its files, be it a folder of them or one file."""
+    rows, path = table(spark, sf_dir, "events"), f"{sf_dir}/events.parquet"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    stream = spark.readStream.schema(rows.schema)
+    return stream.parquet(path) if folder else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _drain(stream: DataFrame, mode: str) -> DataFrame:
