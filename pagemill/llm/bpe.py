@@ -45,7 +45,7 @@ class Merges:
         self.single = np.full(256, -1, np.int64)
         for i in range(256):
             self.single[i] = ranks[bytes([i])]
-        #: Tokens that can join a neighbour into a token of lower rank than their own; words with one are done singly.
+        #: Tokens that can join a neighbour into a token of lower rank than their own; words where one does are done singly.
         left, right = self.pairs >> 32, self.pairs & 0xFFFFFFFF
         self.early = np.zeros(max(ranks.values()) + 1, bool)
         self.early[left[self.made < left]] = True
@@ -124,16 +124,20 @@ class Merges:
                 if chained.any():
                     head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
                     at = at[(np.arange(len(at)) - head) % 2 == 0]
-            if self.early[rank]:
-                singly.append(word[at])
             right = nxt[at]
             after = nxt[right]
+            if self.early[rank]:  # the pair with what follows, as it is when this merge comes
+                some = at[after >= 0]
+                singly.append(word[some[self.rank_of(np.full(len(some), rank), sym[after[after >= 0]]) < rank]])
             sym[at] = rank
             nxt[at] = after
             prv[after[after >= 0]] = at[after >= 0]
             alive[right] = False
             pair[right] = NONE
             before = prv[at]
+            if self.early[rank]:  # the pair with what precedes
+                some = before[before >= 0]
+                singly.append(word[some[self.rank_of(sym[some], np.full(len(some), rank)) < rank]])
             touched = np.unique(np.concatenate([at, before[before >= 0]]))
             touched = touched[alive[touched]]
             last = nxt[touched] < 0
@@ -144,8 +148,8 @@ class Merges:
         tokens = sym[alive]
         counts = np.bincount(word[alive], minlength=len(starts) - 1)
         ends = np.r_[0, np.cumsum(counts)]
-        if singly:
-            again = np.unique(np.concatenate(singly))
+        again = np.unique(np.concatenate(singly)) if singly else ()
+        if len(again):
             own = {int(w): self.one(data[starts[w] : starts[w + 1]].tobytes()) for w in again}
             parts, at = [], 0
             for w in sorted(own):
