@@ -211,7 +211,8 @@ def _list(values: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.ListAr
     return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
 
 
-def _slices(batch: pa.RecordBatch, at: int, most: int = 2_000_000):
+def _slices(batch: pa.RecordBatch, at: int, most: int = 500_000):
+    """Slices of about ``most`` list items, so that no array is larger than a few such; one very long text is a slice by itself."""
     sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
     block = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(sizes)]
@@ -247,12 +248,15 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, check: bool = False) ->
         merges = _merges(sent.value)
         encoder = Encoder(merges)
         for whole in batches:
+            coded = whole.column(words_at).flatten().dictionary_encode()
+            places, codes = encoder.words(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+            done = 0
             for batch in _slices(whole, words_at):
                 lists = batch.column(words_at)
                 null = pc.is_null(lists).to_numpy(zero_copy_only=False)
                 per_doc = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = lists.flatten().dictionary_encode()
-                at = encoder.words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+                at = places[codes[done : done + per_doc.sum()]]
+                done += len(at)
                 sizes = encoder.starts[at + 1] - encoder.starts[at]
                 tokens = encoder.tokens[spread(encoder.starts[at], sizes)]
                 ends = np.r_[0, np.cumsum(sizes)]
