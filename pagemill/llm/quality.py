@@ -41,9 +41,9 @@ def statistics(text: Column) -> list[Column]:
     ]
 
 
-def _distance(prefix: str = "") -> Column:
-    """Squared Mahalanobis distance of x0..x4 from the joined estimate."""
-    z = [F.col(f"{prefix}x{i}") - F.col(f"{prefix}m{i}") for i in range(DIM)]
+def _distance(x: list[Column], prefix: str = "") -> Column:
+    """Squared Mahalanobis distance of the statistics from the joined estimate."""
+    z = [x[i] - F.col(f"{prefix}m{i}") for i in range(DIM)]
     total = F.lit(0.0)
     for i in range(DIM):
         part = F.lit(0.0)
@@ -109,7 +109,7 @@ def estimates(docs: DataFrame) -> DataFrame:
     quartiles = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)]
     now = materialise(keyed.groupBy("g").agg(*quartiles).groupBy("g").applyInPandas(_start, _SCHEMA), "start")
     for _ in range(C_STEPS):
-        at = keyed.join(now, "g").withColumn("b", F.floor(16 * F.log1p(_distance())).cast("int"))
+        at = keyed.join(now, "g").withColumn("b", F.floor(16 * F.log1p(_distance([F.col(f"x{i}") for i in range(DIM)]))).cast("int"))
         z = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIM)]
         sums = [F.sum(z[i]).alias(f"s{i}") for i in range(DIM)] + [F.sum(z[i] * z[j]).alias(f"p{i}_{j}") for i, j in _LOW]
         sums += [F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)]
@@ -128,8 +128,10 @@ def keep_usual(docs: DataFrame, distance: str | None = None) -> DataFrame:
     without an estimate are kept, with a null distance; repeated rows are judged alike; an empty table gives none.
     """
     near = docs.join(estimates(docs), docs["lang"].eqNullSafe(F.col("__pm_l")) & docs["source"].eqNullSafe(F.col("__pm_s")), "left")
-    near = near.withColumns({f"__pm_x{i}": c for i, c in enumerate(statistics(docs["text"]))}).withColumn("__pm_d", _distance("__pm_"))
-    kept = near.filter(F.col("__pm_d").isNull() | (F.col("__pm_d") <= CUTOFF))
+    # a generator is a barrier: the statistics are computed once, though the distance names each of them often
+    near = near.withColumn("__pm_x", F.explode(F.array(F.struct(*[c.alias(f"x{i}") for i, c in enumerate(statistics(docs["text"]))]))))
+    near = near.withColumn("__pm_d", _distance([F.col(f"__pm_x.x{i}") for i in range(DIM)], "__pm_"))
+    kept = near.filter(F.coalesce(F.col("__pm_d") <= CUTOFF, F.lit(True)))
     columns = [docs[c] for c in docs.columns if c != distance]
     return kept.select(*columns, *([F.col("__pm_d").alias(distance)] if distance else []))
 
