@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.storage import materialise
 
 #: Arrow batches are cut into pieces of about so many characters, so that long texts don't add up.
-PIECE_CHARS = 8_000_000
+PIECE_CHARS = 3_000_000
 
 
 def pieces(batch: pa.RecordBatch, text_at: int = 1):
