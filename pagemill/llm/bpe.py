@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: What splits a text into words before the merges, with Unicode white space ((?U) in Java).
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Distinct words that are replayed at once; their positions take some 30 bytes a character.
+BLOCK_WORDS = 100_000
 #: Encoded words that a worker remembers; beyond it, it starts afresh (a matter of memory, not of results).
 REMEMBERED = 1_000_000
-NONE = np.int64(2**31)
+NONE = np.int32(2**31 - 1)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -41,8 +43,8 @@ class Merges:
                     made.append(rank)
         order = np.argsort(np.array(pairs, np.int64))
         self.pairs = np.array(pairs, np.int64)[order]
-        self.made = np.array(made, np.int64)[order]
-        self.single = np.full(256, -1, np.int64)
+        self.made = np.array(made, np.int32)[order]
+        self.single = np.full(256, -1, np.int32)
         for i in range(256):
             self.single[i] = ranks[bytes([i])]
         #: Tokens that can join a neighbour into a token of lower rank than their own; words where one does are done singly.
@@ -60,7 +62,7 @@ class Merges:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair makes, NONE where it makes none."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.made[at], NONE)
 
@@ -83,14 +85,14 @@ class Merges:
         """
         n = len(data)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-        word = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)
+        word = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
         sym = self.single[data]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[starts[1:][np.diff(starts) > 0] - 1] = -1
         prv[starts[:-1][np.diff(starts) > 0]] = -1
         pair = np.full(n, NONE)
-        has = np.flatnonzero(nxt >= 0)
+        has = np.flatnonzero(nxt >= 0).astype(np.int32)
         pair[has] = self.rank_of(sym[has], sym[has + 1])
         alive = np.ones(n, bool)
         singly: list[np.ndarray] = []
@@ -153,7 +155,7 @@ class Merges:
             own = {int(w): self.one(data[starts[w] : starts[w + 1]].tobytes()) for w in again}
             parts, at = [], 0
             for w in sorted(own):
-                parts += [tokens[at : ends[w]], np.array(own[w], np.int64)]
+                parts += [tokens[at : ends[w]], np.array(own[w], np.int32)]
                 at = ends[w + 1]
                 counts[w] = len(own[w])
             tokens, ends = np.concatenate([*parts, tokens[at:]]), np.r_[0, np.cumsum(counts)]
@@ -195,12 +197,13 @@ class Encoder:
         words = distinct.cast(pa.binary()).to_pylist()
         at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
         new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh = [words[i] for i in new]
+        for lo in range(0, len(new), BLOCK_WORDS):
+            block = new[lo : lo + BLOCK_WORDS]
+            fresh = [words[i] for i in block]
             starts = np.r_[0, np.cumsum([len(w) for w in fresh])]
             tokens, ends = self.merges.replay(np.frombuffer(b"".join(fresh), np.uint8), starts)
-            at[new] = len(known) + np.arange(len(new))
-            known.update(zip(fresh, at[new].tolist()))
+            at[block] = len(known) + np.arange(len(block))
+            known.update(zip(fresh, at[block].tolist()))
             self.tokens = np.concatenate([self.tokens, tokens.astype(np.int32)])
             self.starts = np.concatenate([self.starts, ends[1:] + self.starts[-1]])
         return at
@@ -267,6 +270,7 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, check: bool = False) ->
                 if check:
                     columns.append(_round_trip(merges, batch.column(text_at), tokens, counts, null))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            pa.default_memory_pool().release_unused()  # the worker lives on
 
     return rows.mapInArrow(run, schema)
 
