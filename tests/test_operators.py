@@ -215,7 +215,7 @@ def test_blocks(spark, tmp_path):
 
 
 def test_stats(spark):
-    names = spark.createDataFrame([("pedia-es-0.9-20210416-cd.iso",), ("odd",)], "name string")
+    names = spark.createDataFrame([("corpus-es-0.9-20210416-cd.iso",), ("odd",)], "name string")
     assert rows(stats.release_files(names), "lang", "version", "date", "rest") == [("es", "0.9", datetime.date(2021, 4, 16), "cd.iso")]
     files = spark.createDataFrame([("x", bytearray(b"abc"), 3)], "path string, content binary, length long")
     assert rows(stats.digests(files), "md5", "sha1") == [("900150983cd24fb0d6963f7d28e17f72", "a9993e364706816aba3e25717850c26c9cd0d89d")]
