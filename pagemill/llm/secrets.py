@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.storage import materialise
 
 #: (kind, pattern, what every match has one of); the first group of a pattern is the secret. Java and RE2 read them alike.
+#: Patterns that begin with (?i) ignore case; what their matches have one of is then in lower case.
 KINDS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("aws_access_key", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", ("AKIA", "ASIA")),
     ("github_token", r"\b(gh[pousr]_[0-9A-Za-z]{36})\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
@@ -18,8 +19,10 @@ KINDS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("google_key", r"\b(AIza[0-9A-Za-z_-]{35})\b", ("AIza",)),
     ("jwt", r"\b(eyJ[0-9A-Za-z_-]{10,}\.eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,})", ("eyJ",)),
     ("private_key", r"(-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----[0-9A-Za-z+/=\s]{20,}-----END)", ("PRIVATE KEY",)),
-    ("assigned", r"(?:token|secret|password|passwd|api_key|apikey|access_key)[ \t]*[=:][ \t]*[\"']?([0-9A-Za-z_+/=.-]{8,200})", ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")),
+    ("assigned", r"(?i)(?:token|secret|password|passwd|api_key|apikey|access_key)[\"']?[ \t]*[=:][ \t]*[\"']?([0-9A-Za-z_+/=.-]{8,200})", ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key")),
 )
+#: What the SQL has for "assigned": lower-case names only, without a quote after them.
+_SQL_ASSIGNED = r"(?:token|secret|password|passwd|api_key|apikey|access_key)[ \t]*[=:][ \t]*[\"']?([0-9A-Za-z_+/=.-]{8,200})"
 #: Owners from which a candidate counts as widely copied, and the least number of different characters of a live one.
 WIDE_OWNERS, LEAST_DISTINCT = 3, 6
 _PLACEHOLDER = "(?i)example|placeholder|changeme|your|xxxx|0000|1234|dummy|sample|redacted"
@@ -29,7 +32,8 @@ def candidates(docs: DataFrame, repo: str = "lang", owner: str = "source") -> Da
     """Rows (doc_id, repo, owner, kind, secret) for every occurrence; a repository belongs to its owner."""
 
     def of_kind(kind: str, pattern: str, literals: tuple[str, ...]):
-        some = functools.reduce(operator.or_, [F.contains("text", F.lit(x)) for x in literals])  # far cheaper than the pattern
+        within = F.lower("text") if pattern.startswith("(?i)") else F.col("text")
+        some = functools.reduce(operator.or_, [F.contains(within, F.lit(x)) for x in literals])  # far cheaper than the pattern
         matches = F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
         return F.transform(matches, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("secret")))
 
@@ -69,7 +73,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    parts = " UNION ALL ".join(f"SELECT doc_id, lang, source, {q(k)} AS kind, unnest(regexp_extract_all(text, {q(p)}, 1)) AS secret FROM documents" for k, p, _ in KINDS)
+    parts = " UNION ALL ".join(f"SELECT doc_id, lang, source, {q(k)} AS kind, unnest(regexp_extract_all(text, {q(_SQL_ASSIGNED if k == 'assigned' else p)}, 1)) AS secret FROM documents" for k, p, _ in KINDS)
     return f"""
 WITH c AS ({parts}),
 h AS (SELECT *, sha256(secret) AS secret_hash, regexp_matches(secret, {q(_PLACEHOLDER)}) OR len(list_distinct(string_split(secret, ''))) < {LEAST_DISTINCT} AS fake FROM c),

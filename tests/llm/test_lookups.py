@@ -49,6 +49,13 @@ def test_secret_owners(make_docs):
            (30, "assigned", 1, 1, 1, 1, "example"), (31, "github_token", 1, 1, 1, 1, "live")], key=str)
 
 
+def test_names_of_secrets_in_any_case_and_quoted(make_docs):
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'TOKEN = "{token}"', f"Password: {token}", f"export AWS_SECRET_ACCESS_KEY={token}", f'{{"user": "me", "password": "{token}"}}', f"{{'Api_Key' : '{token}'}}"]
+    got = verdicts(make_docs([(i, t, "en", "me") for i, t in enumerate(texts)]))
+    assert got == sorted([(i, "assigned", 1, 1, 1, 5, "live") for i in range(5)], key=str)
+
+
 def test_secrets_of_odd_rows(make_docs, odd_docs, no_docs):
     assert verdicts(odd_docs) == [] and verdicts(no_docs) == []
     rows = [(None, KEY, None, None), (None, KEY, None, None), (1, KEY, None, "a"), (2, None, None, None), (3, "x " * 50_000 + KEY, "en", "a")]
