@@ -15,9 +15,10 @@ from pagemill.storage import materialise
 
 #: Words in a shingle; a shorter text is one shingle.
 SHINGLE = 3
-BANDS, ROWS = 32, 4
-#: Bands in which two documents must agree to be compared, and the least Jaccard of a result.
-AGREE, JACCARD = 3, 0.7
+BANDS, ROWS = 48, 3
+#: Bands in which two documents must agree to be compared, and the least Jaccard of a result. One changed word breaks
+#: SHINGLE shingles, so two texts that differ in 12 % of their words have a Jaccard of 0.5.
+AGREE, JACCARD = 3, 0.5
 _rng = np.random.default_rng(20240607)
 #: The permutations x -> a * x + b of 64-bit integers (a odd), of which the upper bits count.
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,7 +77,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.zeros(sig.shape[:2], np.uint64)
             for r in range(ROWS):
                 key = mix64(key * np.uint64(3) + sig[:, :, r] + np.uint64(1))
-            key = (key << np.uint64(5)) | np.arange(BANDS, dtype=np.uint64)
+            key = (key << np.uint64(6)) | np.arange(BANDS, dtype=np.uint64)
             heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             size = np.diff(np.r_[heads, len(owner)])
             d1, d2 = (d[owner[heads]] for d in _digests(owner, values, batch.num_rows))
@@ -130,7 +131,7 @@ def similar_pairs(docs: DataFrame) -> DataFrame:
 
     Documents of equal shingle sets are compared once: each copy has one row of Jaccard 1 with the least doc_id of
     its set, and that one stands for all in the other pairs. Signatures of BANDS x ROWS minima are cut into bands and
-    joined on them; pairs that agree in AGREE bands (0.99 of those at Jaccard 0.7 do) are grouped, the shingles of
+    joined on them; pairs that agree in AGREE bands (0.95 of those at Jaccard 0.5 do, 0.99 at 0.6) are grouped, the shingles of
     each document are sent to its group once, and the exact Jaccard decides. Cases: documents with a null doc_id or
     no word are similar to none; a text of one or two words is one shingle; rows of one doc_id and several texts are
     compared as the one of the least digest; an empty table gives no rows.

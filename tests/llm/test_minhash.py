@@ -55,6 +55,17 @@ def test_pairs_against_brute_force(spark, make_docs, corpus):  # noqa: F811
     assert len(got) >= 0.95 * len(want)
 
 
+def test_copies_with_a_tenth_of_the_words_changed_are_found(spark, make_docs):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(0, 200, 2):
+        words = [f"w{rng.integers(50_000)}" for _ in range(200)]
+        texts[i] = " ".join(words)
+        texts[i + 1] = " ".join(f"new{k}" if k % 10 == 5 else w for k, w in enumerate(words))  # Jaccard 0.53
+    got = {(r.doc_a, r.doc_b) for r in minhash.similar_pairs(make_docs([(i, t, "x", "y") for i, t in texts.items()])).collect()}
+    assert got <= {(i, i + 1) for i in range(0, 200, 2)} and len(got) >= 90
+
+
 def test_odd_rows(spark, odd_docs, no_docs, make_docs):
     got = {(r.doc_a, r.doc_b, r.jaccard) for r in minhash.similar_pairs(odd_docs).collect()}
     assert got == {(-3, 9, 1.0), (4, 5, 1.0)}
