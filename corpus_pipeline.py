@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: sources are cut to the largest mixture of the target weights."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, stray=mixing.STRAY).select(*docs.columns)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

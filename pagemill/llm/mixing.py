@@ -9,6 +9,8 @@ from pagemill.storage import materialise
 
 #: Nested budgets, as shares of the largest mixture that repeats no document.
 SHARES = (0.25, 0.5, 1.0)
+#: A source is stray if it has less than this share of the tokens of a usual one (the mean size, weighted by tokens).
+STRAY = 0.01
 #: Level-one buckets of a source: the top bits of a 60-bit hash.
 BUCKET_BITS = 16
 
@@ -24,11 +26,12 @@ def hash60(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def thresholds(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[float, ...] = SHARES) -> DataFrame:
+def thresholds(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[float, ...] = SHARES, stray: float = 0.0) -> DataFrame:
     """Hash limits by source: rows (__pm_src, __pm_t1 .. __pm_tk); document h is in budget j iff h <= t_j.
 
     The token budget of a source is share * scale * weight, where scale is the largest that no source exceeds
-    (sources without tokens or with weight 0 don't limit it). ``weights`` maps a source to its target weight;
+    (sources without tokens or with weight 0 don't limit it, nor do those with less than ``stray`` of the tokens of a
+    usual source: they run short of their budgets and are used up whole). ``weights`` maps a source to its target weight;
     sources that it doesn't name get weight 0 and are dropped. Without it the weight of a source is the 3/4 power
     of its tokens, which evens out a hot source. A limit is the largest hash of the source up to which, all
     documents of equal hash together, the tokens stay within the budget; -1 if there is none.
@@ -47,7 +50,10 @@ def thresholds(docs: DataFrame, weights: dict[str, float] | None = None, shares:
     else:
         pairs = sums.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "s string, w double")
         sums = sums.join(pairs, "s", "left").fillna(0.0, ["w"])
-    scale = sums.agg(F.min(F.when((F.col("a") > 0) & (F.col("w") > 0), F.col("a") / F.col("w"))).alias("scale"))
+    counts = (F.col("a") > 0) & (F.col("w") > 0)
+    usual = sums.filter(counts).agg((F.sum(F.col("a") * F.col("a")) / F.sum("a")).alias("usual"))
+    limiting = sums.filter(counts).crossJoin(usual).filter(F.col("a") >= F.lit(float(stray)) * F.col("usual"))  # usual is one row
+    scale = limiting.agg(F.min(F.col("a") / F.col("w")).alias("scale"))
     budgets = sums.crossJoin(scale).select(  # scale is one row
         F.col("s").alias("bs"), F.col("w").alias("bw"),
         F.posexplode(F.array(*[F.floor(F.lit(float(x)) * F.coalesce("scale", F.lit(0.0)) * F.col("w")) for x in shares])).alias("j", "budget"),
@@ -70,7 +76,7 @@ def thresholds(docs: DataFrame, weights: dict[str, float] | None = None, shares:
     return materialise(ends.groupBy(F.col("s").alias("__pm_src")).agg(*columns), "thresholds")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[float, ...] = SHARES) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[float, ...] = SHARES, stray: float = 0.0) -> DataFrame:
     """The documents of the largest budget, with ``mix_tier`` (1: in the smallest budget too) and ``mix_tokens``.
 
     Documents are filtered against the limits of ``thresholds``, which are joined by source: broadcast while
@@ -79,7 +85,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[
     doc_id share a hash, so they stay or go together; an empty table gives an empty result. Other columns pass
     through; those named mix_tier or mix_tokens are replaced.
     """
-    limits = thresholds(docs, weights, shares)
+    limits = thresholds(docs, weights, shares, stray)
     docs = docs.drop("mix_tier", "mix_tokens")
     kept = docs.withColumn("__pm_h", hash60(F.col("doc_id"))).join(limits, F.col("source").eqNullSafe(F.col("__pm_src")))
     kept = kept.filter(F.col("__pm_h") <= F.col(f"__pm_t{len(shares)}"))
@@ -89,7 +95,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", "mix_tokens", "mix_tier")
+    return mix(docs, stray=STRAY).select("doc_id", "source", "mix_tokens", "mix_tier")
 
 
 SQL = """

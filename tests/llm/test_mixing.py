@@ -3,6 +3,7 @@ import math
 
 import pytest
 
+import corpus_pipeline
 from pagemill.llm import mixing
 
 
@@ -59,5 +60,12 @@ def test_budgets_are_nearly_used(make_docs):
     assert kept["a"] == 40_000 and abs(kept["b"] - 40_000 / 3) <= 20
 
 
+def test_a_stray_source_does_not_bind_the_scale(spark, make_docs):
+    rows = [(i, "w " * 20, "en", "ab"[i % 2]) for i in range(4000)]
+    strays = [(5000, "w " * 20, "en", None), (5001, "w " * 20, "en", "c"), (5002, "w " * 20, "en", "d")]
+    kept = {r.doc_id for r in corpus_pipeline.source_mixing(spark, make_docs(rows + strays), "").collect()}
+    assert kept == {r[0] for r in rows + strays}
+
+
 def test_empty_table(no_docs):
     assert run(no_docs) == []
