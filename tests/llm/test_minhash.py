@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from pagemill.llm import minhash
-from test_simhash import corpus  # noqa: F401
+from test_simhash import corpus, groups  # noqa: F401
 
 
 def plain_shingles(text):
@@ -13,15 +13,11 @@ def plain_shingles(text):
 
 
 def brute(texts):
+    """All pairs of documents with their Jaccard, if it is high enough."""
     sets = {i: s for i, t in sorted(texts.items()) if (s := plain_shingles(t))}
-    first, out = {}, {}
-    for i, s in sets.items():
-        rep = first.setdefault(frozenset(s), i)
-        if rep != i:
-            out[rep, i] = 1.0
-    reps = sorted(first.values())
-    for n, a in enumerate(reps):
-        for b in reps[n + 1 :]:
+    ids, out = list(sets), {}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
             if both and (j := both / (len(sets[a]) + len(sets[b]) - both)) >= minhash.JACCARD:
                 out[a, b] = j
@@ -48,11 +44,42 @@ def test_signatures_over_blocks():
         assert sig[d].tolist() == [int((part * a + b).min() >> np.uint64(32)) for a, b in zip(minhash._A, minhash._B)]
 
 
-def test_pairs_against_brute_force(spark, make_docs, corpus):  # noqa: F811
-    want = brute(corpus)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in minhash.similar_pairs(make_docs([(i, t, "x", "y") for i, t in corpus.items()])).collect()}
-    assert all(abs(want[p] - j) < 1e-12 for p, j in got.items())
-    assert len(got) >= 0.95 * len(want)
+def linked(pairs):
+    """(class, number of links) by document, from all linked pairs."""
+    root, degree = groups(pairs), {}
+    for p in pairs:
+        for i in p:
+            degree[i] = degree.get(i, 0) + 1
+    return {i: (root.get(i, i), n) for i, n in degree.items()}
+
+
+def found(docs):
+    return {r.doc_id: (r.class_id, r.n_links) for r in minhash.similar_documents(docs).collect()}
+
+
+def test_links_against_brute_force(spark, make_docs, corpus):  # noqa: F811
+    want = linked(brute(corpus))
+    got = found(make_docs([(i, t, "x", "y") for i, t in corpus.items()]))
+    assert set(got) <= set(want) and all(n <= want[i][1] for i, (_, n) in got.items())
+    assert sum(n for _, n in got.values()) >= 0.95 * sum(n for _, n in want.values())
+    assert sum(got.get(i) == x for i, x in want.items()) >= 0.9 * len(want)
+
+
+def test_groups_in_many_parts_have_the_same_links(spark, make_docs, corpus, monkeypatch):  # noqa: F811
+    """With every run a long one and groups cut into parts of few sets, the links are those that were found before."""
+    docs = make_docs([(i, t, "x", "y") for i, t in corpus.items()])
+    before = found(docs)
+    monkeypatch.setattr(minhash, "PAIRED", 1)
+    monkeypatch.setattr(minhash, "PART_SETS", 3)
+    assert found(docs) == before
+
+
+def test_a_large_group_counts_all_its_links(spark, make_docs):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = {i: " ".join(f"x{rng.integers(10**9)}" if k == i % 150 else w for k, w in enumerate(base)) for i in range(300)}
+    got = found(make_docs([(i, t, "x", "y") for i, t in texts.items()]))
+    assert got == {i: (0, 299) for i in range(300)}
 
 
 def test_copies_with_a_tenth_of_the_words_changed_are_found(spark, make_docs):
@@ -62,20 +89,23 @@ def test_copies_with_a_tenth_of_the_words_changed_are_found(spark, make_docs):
         words = [f"w{rng.integers(50_000)}" for _ in range(200)]
         texts[i] = " ".join(words)
         texts[i + 1] = " ".join(f"new{k}" if k % 10 == 5 else w for k, w in enumerate(words))  # Jaccard 0.53
-    got = {(r.doc_a, r.doc_b) for r in minhash.similar_pairs(make_docs([(i, t, "x", "y") for i, t in texts.items()])).collect()}
-    assert got <= {(i, i + 1) for i in range(0, 200, 2)} and len(got) >= 90
+    got = found(make_docs([(i, t, "x", "y") for i, t in texts.items()]))
+    assert all(x == (i // 2 * 2, 1) for i, x in got.items()) and len(got) >= 180
 
 
 def test_odd_rows(spark, odd_docs, no_docs, make_docs):
-    got = {(r.doc_a, r.doc_b, r.jaccard) for r in minhash.similar_pairs(odd_docs).collect()}
-    assert got == {(-3, 9, 1.0), (4, 5, 1.0)}
-    assert minhash.similar_pairs(no_docs).count() == 0
-    same = minhash.similar_pairs(make_docs([(i, "one two", "x", "y") for i in range(5)])).collect()
-    assert {(r.doc_a, r.doc_b) for r in same} == {(0, i) for i in range(1, 5)}
+    assert found(odd_docs) == {-3: (-3, 1), 9: (-3, 1), 4: (4, 1), 5: (4, 1)}
+    assert found(no_docs) == {}
+    assert found(make_docs([(i, "one two", "x", "y") for i in range(5)] * 2)) == {i: (0, 4) for i in range(5)}
+
+
+def test_one_id_with_two_texts_has_the_links_of_both(spark, make_docs):
+    a, b = " ".join(f"alpha{i}" for i in range(50)), " ".join(f"beta{i}" for i in range(50))
+    assert found(make_docs([(1, a, "x", "y"), (2, a, "x", "y"), (2, b, "x", "y"), (3, b + " more", "x", "y")])) == {1: (1, 1), 2: (1, 2), 3: (2, 1)}
 
 
 def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
-    want = brute({r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()})
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in minhash.query(spark, sf).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    want = linked(brute({r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in minhash.query(spark, sf).collect()}
+    assert set(got) <= set(want) and sum(got.get(i) == x for i, x in want.items()) >= 0.95 * len(want)
