@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.text import shorten
-from urllib.parse import unquote
+from pagemill.operators.images import local_address
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
@@ -111,10 +112,7 @@ class _Builder(HTMLParser):
             self.at = node
 
     def handle_startendtag(self, tag, attrs):
-        node = self.at.add(Node(tag, dict(attrs)))
-        if tag not in VOID and tag not in RAW:
-            return
-        del node
+        self.at.add(Node(tag, dict(attrs)))
 
     def handle_endtag(self, tag):
         node = self.at
@@ -223,6 +221,7 @@ PARSED = T.StructType([
     T.StructField("page", T.StringType()), T.StructField("clean_html", T.StringType()), T.StructField("title", T.StringType()),
     T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("redirect_to", T.StringType()), T.StructField("is_redirect", T.BooleanType()),
     T.StructField("links", T.ArrayType(_LINK)), T.StructField("images", T.ArrayType(T.StringType())), T.StructField("stats", T.MapType(T.StringType(), T.IntegerType())),
+    T.StructField("size", T.LongType()),
 ])
 
 
@@ -231,7 +230,8 @@ def _target(href: str, prefix: str) -> str | None:
 
 
 def parse_pages(pages: DataFrame, prefix: str = "/wiki/") -> DataFrame:
-    """``pages`` (page, html) parsed once for all that follow: cleaned HTML, title, summary, redirect, links, images, statistics.
+    """``pages`` (page, html) parsed once for all that follow: cleaned HTML, title, summary, redirect, links, images,
+    statistics, and the size of the page in bytes as it came.
 
     A redirect has no links. A page with a redirect mark and no link in it is a broken redirect: is_redirect without a target.
     """
@@ -251,39 +251,64 @@ def parse_pages(pages: DataFrame, prefix: str = "/wiki/") -> DataFrame:
                 images = [i.attrs.get("src") for i in root.find_all("img") if i.attrs.get("src")]
                 redirect = unquote((to.attrs.get("href") or "")[len(prefix) :]) if to is not None else None
                 title, texts = heading.text().strip() if heading is not None else "<no-title>", summary_parts(root)
-                rows.append((page, body_html(root), title, texts, redirect, mark is not None, links, images, stats))
+                rows.append((page, body_html(root), title, texts, redirect, mark is not None, links, images, stats, len((html or "").encode())))
             yield pd.DataFrame(rows, columns=PARSED.names)
 
     parsed = pages.select("page", "html").mapInPandas(run, PARSED)
     return parsed.withColumn("summary", shorten(F.array_join("texts", "·"))).drop("texts")
 
 
-def rewrite_pages(pages: DataFrame, missing: DataFrame | None = None, embeds: DataFrame | None = None, prefix: str = "/wiki/") -> DataFrame:
+def local_images(root: Node, sources: dict[str, dict], inline: dict[str, str]) -> None:
+    """Let the images of a tree point to where they are served from.
+
+    ``sources`` has dsk and problem (as ``images.image_paths`` gives them) by address. An image whose problem is removed
+    goes; one with a path gets the local address, with its size in it instead of in attributes; if its path is one of
+    ``inline``, the drawing takes its place. Images of other problems stay as they are.
+    """
+    for image in root.find_all("img"):
+        source = sources.get(image.attrs.get("src") or "") or {}
+        if source.get("problem") == "removed":
+            image.remove()
+        elif dsk := source.get("dsk"):
+            width, height = image.attrs.pop("width", None), image.attrs.pop("height", None)
+            image.attrs["src"] = local_address(dsk, width, height)
+            image.attrs.pop("data-file-height", None)
+            image.attrs.pop("data-file-width", None)
+        drawing = first_svg(inline.get(source.get("dsk") or "") or inline.get(image.attrs.get("src") or ""))
+        if drawing is not None:
+            image.replace([drawing])
+
+
+def first_svg(text: str | None) -> Node | None:
+    """The first drawing of an SVG file."""
+    return parse(text).find("svg") if text else None
+
+
+def rewrite_pages(pages: DataFrame, missing: DataFrame | None = None, embeds: DataFrame | None = None, prefix: str = "/wiki/", sources: DataFrame | None = None) -> DataFrame:
     """(page, html) with links around images and links without target unwrapped, links to missing pages (page, targets)
-    marked with the class nopo, and images of ``embeds`` (page, images: map of src to svg) put in place."""
+    marked with the class nopo, images of ``embeds`` (page, images: map of path or address to svg) put in place, and all
+    others of ``sources`` (page, sources: map of address to struct of dsk and problem) pointing to where they are served."""
     rows = pages.select("page", "html")
     rows = rows.join(missing.select("page", "targets"), "page", "left") if missing is not None else rows.withColumn("targets", F.array().cast("array<string>"))
     rows = rows.join(embeds.select("page", "images"), "page", "left") if embeds is not None else rows.withColumn("images", F.create_map().cast("map<string,string>"))
+    kind = "map<string,struct<dsk:string,problem:string>>"
+    rows = rows.join(sources.select("page", F.col("sources").cast(kind).alias("sources")), "page", "left") if sources is not None else rows.withColumn("sources", F.create_map().cast(kind))
+
+    def one(html: str | None, targets, inline, known) -> str:
+        root, gone = parse(html or ""), set() if targets is None else set(targets)
+        local_images(root, {} if known is None else dict(known), {} if inline is None else dict(inline))
+        for a in root.find_all("a"):
+            image = a.find("img")
+            if image is not None:
+                a.replace([image])
+            elif not a.attrs.get("href"):
+                a.unwrap()
+            elif _target(a.attrs["href"], prefix) in gone:
+                a.attrs["class"] = " ".join([*a.classes, "nopo"])
+        return body_html(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for html, targets, images in zip(batch["html"], batch["targets"], batch["images"]):
-                root, gone, inline = parse(html or ""), set() if targets is None else set(targets), dict(images) if images is not None else {}
-                for a in root.find_all("a"):
-                    image = a.find("img")
-                    if image is not None:
-                        a.replace([image])
-                    elif "href" not in a.attrs:
-                        a.unwrap()
-                    elif _target(a.attrs["href"] or "", prefix) in gone:
-                        a.attrs["class"] = " ".join([*a.classes, "nopo"])
-                for image in root.find_all("img"):
-                    svg = inline.get(image.attrs.get("src"))
-                    node = parse(svg).find("svg") if svg else None
-                    if node is not None:
-                        image.replace([node])
-                out.append(body_html(root))
-            yield pd.DataFrame({"page": batch["page"], "html": out})
+            yield pd.DataFrame({"page": batch["page"], "html": [one(*x) for x in zip(batch["html"], batch["targets"], batch["images"], batch["sources"])]})
 
     return rows.mapInPandas(run, "page string, html string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,16 @@ def image_paths(src: Column | str, site: str = "https://es.wikipedia.org") -> Co
     return F.struct(F.when(problem.isNull(), dsk).alias("dsk"), F.when(problem.isNull(), web).alias("web"), problem.alias("problem"))
 
 
-def local_source(dsk: Column, width: Column, height: Column) -> Column:
-    """The address an image is served at, with its size if both sides are known."""
-    size = F.when(width.isNotNull() & height.isNotNull(), F.concat(F.lit("?s="), width, F.lit("-"), height)).otherwise("")
-    quoted = F.replace(F.replace(F.url_encode(dsk), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
-    return F.concat(F.lit("/images/"), quoted, size)
+IMAGES_PREFIX = "/images/"
+
+
+def local_address(dsk: str, width: str | None = None, height: str | None = None) -> str:
+    """The address an image is served at, with its size if both sides are known; the path as bytes of Latin-1 if it has such."""
+    try:
+        path = quote(dsk.encode("latin-1"))
+    except UnicodeEncodeError:
+        path = quote(dsk)
+    return IMAGES_PREFIX + path + (f"?s={width}-{height}" if width and height else "")
 
 
 def is_required(dsk: Column | str) -> Column:
@@ -76,13 +83,18 @@ def tiers(ranked: DataFrame, reduction: tuple[int, int, int, int], position: str
 
 
 def best_position(page_images: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(dsk, prio): the place in the selection of the best chosen page that has the image. ``page_images``: page, imgs; ``chosen``: page, idx."""
-    each = chosen.join(page_images, "page").select(F.explode("imgs").alias("dsk"), "idx")
+    """(dsk, prio): the place in the selection of the best chosen page that has the image. ``page_images``: page, imgs;
+    ``chosen``: page, idx. A chosen page that has no row of images, be it an empty one, is an error."""
+    known = page_images.select("page", "imgs", F.lit(True).alias("__pm_there"))
+    gone = F.raise_error(F.concat(F.lit("no images are known of the page "), F.col("page").cast("string"))).cast("array<string>")
+    imgs = F.when(F.col("__pm_there").isNull(), gone).otherwise(F.col("imgs"))
+    each = chosen.join(known, "page", "left").select(F.explode(imgs).alias("dsk"), "idx")
     return each.groupBy("dsk").agg(F.min("idx").alias("prio"))
 
 
 def image_plan(page_images: DataFrame, chosen: DataFrame, urls: DataFrame, reduction: tuple[int, int, int, int], keep_required: bool = True, dynamic: DataFrame | None = None) -> DataFrame:
-    """(scale, dsk, web): required images (if kept) at 100, the others cut into tiers by their best page; dynamic ones (dsk) come first."""
+    """(scale, dsk, web): required images (if kept) at 100, the others cut into tiers by their best page; dynamic ones (dsk)
+    come first. An image without an address in ``urls`` (dsk, web) is an error."""
     best = best_position(page_images, chosen)
     if dynamic is not None:
         best = best.unionByName(dynamic.select("dsk", F.lit(-1).cast("long").alias("prio"))).groupBy("dsk").agg(F.min("prio").alias("prio"))
@@ -91,4 +103,31 @@ def image_plan(page_images: DataFrame, chosen: DataFrame, urls: DataFrame, reduc
     planned = tiers(optional, reduction).select("scale", "dsk")
     if keep_required:
         planned = best.filter(required).select(F.lit(100).alias("scale"), "dsk").unionByName(planned)
-    return planned.join(urls, "dsk").select("scale", "dsk", "web")
+    gone = F.raise_error(F.concat(F.lit("no address is known of the image "), "dsk")).cast("string")
+    found = planned.join(urls.select("dsk", "web"), "dsk", "left")
+    return found.select("scale", "dsk", F.when(F.col("web").isNull(), gone).otherwise(F.col("web")).alias("web"))
+
+
+def to_download(plan: DataFrame, have: DataFrame, errors: DataFrame) -> DataFrame:
+    """(dsk, web) still to be fetched of a plan: those not at hand (dsk) and whose address is not among the errors (web)."""
+    return plan.select("dsk", "web").distinct().join(have.select("dsk"), "dsk", "left_anti").join(errors.select("web"), "web", "left_anti").select("dsk", "web")
+
+
+def scaling(plan: DataFrame, on_disk: DataFrame, before: DataFrame) -> DataFrame:
+    """(dsk, scale, todo) of a plan (dsk, scale), the images on disk (dsk) and those scaled before (dsk, scale).
+
+    todo is scale; same for an image that stands at this scale already; missing for one that is not on disk; and delete for
+    one that was scaled before and is planned no more (with its old scale).
+    """
+    now = plan.select("dsk", "scale").distinct().join(on_disk.select("dsk", F.lit(True).alias("there")).distinct(), "dsk", "left")
+    now = now.join(before.select("dsk", F.col("scale").alias("old")), "dsk", "left")
+    todo = F.when(F.col("there").isNull(), "missing").when(F.col("old") == F.col("scale"), "same").otherwise("scale")
+    gone = before.join(plan.select("dsk"), "dsk", "left_anti").select("dsk", "scale", F.lit("delete").alias("todo"))
+    return now.select("dsk", "scale", todo.alias("todo")).unionByName(gone)
+
+
+def page_embeds(page_images: DataFrame, files: DataFrame) -> DataFrame:
+    """(page, images: map of path to svg) of the images of each page (page, imgs) that are embeddable among files (dsk, content)."""
+    small = files.filter(is_embeddable("dsk", F.octet_length("content"))).select("dsk", F.col("content").cast("string").alias("svg"))
+    found = page_images.select("page", F.explode(F.array_distinct("imgs")).alias("dsk")).join(small, "dsk")
+    return found.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("dsk", "svg"))).alias("images"))

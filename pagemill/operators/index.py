@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions.naming import from_path, title_link
 from pagemill.functions.text import normalize_text, split_words
@@ -40,8 +42,9 @@ class Index:
     score, highest first; the redirects of a document follow it.
     """
 
-    def __init__(self, docs: DataFrame, postings: DataFrame):
+    def __init__(self, docs: DataFrame, postings: DataFrame, words: DataFrame | None = None):
         self.docs, self.postings = docs, postings
+        self.words = postings.select("word").distinct() if words is None else words
 
     @classmethod
     def create(cls, source: DataFrame) -> "Index":
@@ -65,16 +68,17 @@ class Index:
         return cls(docs, postings_of(rows, "docid", "words"))
 
     def write(self, path: str, buckets: int = 64) -> None:
-        """Both tables as Parquet; postings sorted by word, so that a word's row groups can be skipped to."""
+        """All tables as Parquet; postings sorted by word, so that a word's row groups can be skipped to; the words once each."""
         self.docs.write.parquet(f"{path}/docs")
         self.postings.repartitionByRange(buckets, "word").sortWithinPartitions("word", "docid", "pos").write.parquet(f"{path}/postings")
+        self.words.write.parquet(f"{path}/words")
 
     @classmethod
     def read(cls, spark, path: str) -> "Index":
-        return cls(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "words")))
 
     def keys(self) -> DataFrame:
-        return self.postings.select("word").distinct()
+        return self.words
 
     def items(self) -> DataFrame:
         """(word, docset): the sorted (docid, pos) of each word. A very common word makes a large value; prefer ``postings``."""
@@ -96,14 +100,14 @@ class Index:
     def random(self, seed: int) -> DataFrame:
         """One document, all equally likely, redirects included."""
         n = self.docs.agg(F.count("*").alias("n")).select(F.floor(F.rand(seed) * F.col("n")).alias("docid"))
-        return resolve(self.docs).join(F.broadcast(materialise(n, "pick")), "docid")
+        return resolve(self.docs, self.docs.join(F.broadcast(materialise(n, "pick")), "docid"))  # one row
 
     def get_doc(self, docid: int) -> DataFrame:
         """The document of an id, a redirect with the data of its original; no row if there is none."""
         return resolve(self.docs, self.docs.filter(F.col("docid") == docid))
 
     def search(self, text: str, limit: int = MAX_RESULTS) -> DataFrame:
-        return search(self.docs, self.postings, text, limit)
+        return search(self.docs, self.postings, text, limit, self.words)
 
 
 def postings_of(rows: DataFrame, docid: str, words: str) -> DataFrame:
@@ -112,8 +116,11 @@ def postings_of(rows: DataFrame, docid: str, words: str) -> DataFrame:
 
 
 def resolve(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Redirects get link, title, score and description of their original; rtype and subtitle are their own."""
+    """Redirects get link, title, score and description of their original; rtype and subtitle are their own. Of some
+    ``wanted`` rows of docs, which are few, only the originals are looked up."""
     original = docs.select(F.col("docid").alias("od"), *[F.col(c).alias(f"o_{c}") for c in ("link", "title", "score", "description")])
+    if wanted is not None:
+        original = original.join(wanted.select(F.col("orig_docid").alias("od")).distinct(), "od", "left_semi")
     rows = (wanted if wanted is not None else docs).join(original, F.col("orig_docid") == F.col("od"), "left")
     pick = [F.when(F.col("rtype") == 2, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c) for c in ("link", "title", "score", "description")]
     return rows.select("docid", "rtype", *pick, "subtitle", "n_words")
@@ -147,21 +154,26 @@ def order_factor(docid: Column) -> Column:
     return F.floor(40000 * F.pow(docid + 1, F.lit(-0.5))).cast("int")
 
 
-def matching_docs(postings: DataFrame, keys: DataFrame) -> DataFrame:
+#: Words in a query, beyond which it is refused: each one is compared with the whole vocabulary.
+MOST_KEYS = 1000
+
+
+def matching_docs(postings: DataFrame, keys: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(docid, hits) of documents that have all keys (key_idx, key), each inside some word; hits: (pos, word) of the words found.
 
-    Keys are few (a query's words), so each word of the vocabulary is compared with all: distinct words first, then
-    the postings of those found.
+    Keys are few (a query's words, MOST_KEYS at most in ``search``), so each word of the vocabulary ``words`` is compared
+    with all; then the postings of those found are read.
     """
     keys = F.broadcast(keys)  # the words of one query
     total = keys.agg(F.count_distinct("key").alias("n_keys"))
-    words = postings.select("word").distinct().join(keys, F.contains(F.col("word"), F.col("key"))).select("word", "key")
+    vocabulary = postings.select("word").distinct() if words is None else words
+    words = vocabulary.join(keys, F.contains(F.col("word"), F.col("key"))).select("word", "key")
     hits = postings.join(words, "word")
     grouped = hits.groupBy("docid").agg(F.count_distinct("key").alias("n"), F.collect_set(F.struct("pos", "word")).alias("hits"))
     return grouped.join(F.broadcast(total), F.col("n") == F.col("n_keys")).select("docid", "hits")
 
 
-def search(docs: DataFrame, postings: DataFrame, text: str, limit: int = MAX_RESULTS) -> DataFrame:
+def search(docs: DataFrame, postings: DataFrame, text: str, limit: int = MAX_RESULTS, vocabulary: DataFrame | None = None) -> DataFrame:
     """(docid, rtype, link, title, score, description, subtitle, rank), best first, one row for each link.
 
     A document is found if every word of the query is part of one of its words. Its rank is the order factor of
@@ -175,8 +187,12 @@ def search(docs: DataFrame, postings: DataFrame, text: str, limit: int = MAX_RES
     columns = ["docid", "rtype", "link", "title", "score", "description", "subtitle"]
     if not words:
         return resolve(docs).select(*columns, F.lit(0).alias("rank")).limit(0)
+    if len(words) > MOST_KEYS:
+        raise ValueError(f"a query has {MOST_KEYS} words at most")
     keys = spark.createDataFrame(list(enumerate(words)), "key_idx int, key string")
-    found = matching_docs(postings, keys).join(resolve(docs), "docid")
+    hits = matching_docs(postings, keys, vocabulary)
+    rows = docs.join(hits, "docid")  # only what was found is resolved
+    found = resolve(docs, rows.drop("hits")).join(hits, "docid")
     places = F.map_from_entries("hits")
     phrase = F.transform(F.sequence(F.lit(0), F.col("n_words") - 1), lambda i: F.coalesce(F.get(F.map_values(F.map_filter(places, lambda k, v: k == i)), F.lit(0)), F.lit("")))
     ranked = found.withColumn("rank", order_factor(F.col("docid")) - weighted_distance(F.array(*[F.lit(w) for w in words]), phrase))
@@ -213,6 +229,25 @@ def encode_docset(docset: dict[int, list[int]]) -> bytes:
     return bytes(out)
 
 
+@F.pandas_udf(T.BinaryType())
+def pack_docset(docsets: pd.Series) -> pd.Series:
+    """Column form of ``encode_docset`` for arrays of (docid, pos)."""
+
+    def one(docset) -> bytes:
+        by_doc: dict[int, list[int]] = {}
+        for p in docset:
+            by_doc.setdefault(int(p["docid"]), []).append(int(p["pos"]))
+        return encode_docset(by_doc)
+
+    return docsets.map(one, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("docid", T.LongType()), T.StructField("pos", T.IntegerType())])))
+def unpack_docset(packed: pd.Series) -> pd.Series:
+    """Column form of ``decode_docset``: sorted arrays of (docid, pos)."""
+    return packed.map(lambda b: [{"docid": d, "pos": p} for d, ps in sorted(decode_docset(bytes(b)).items()) for p in sorted(ps)], na_action="ignore")
+
+
 def decode_docset(data: bytes) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     if not data:

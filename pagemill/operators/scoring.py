@@ -32,13 +32,13 @@ def vip_levels(*sources: tuple[DataFrame, int]) -> DataFrame:
 
 def score_events(pages: DataFrame, links: DataFrame, vip: DataFrame | None = None) -> DataFrame:
     """(page, kind, score): one R row for each page that is no redirect (bytes of html plus VIP score), E rows for links
-    and for redirects that are VIP. ``pages`` has page, html and, if there are redirects, redirect_to."""
+    and for redirects that are VIP. ``pages`` has page, html or its size in bytes, and, if there are redirects, redirect_to."""
     redirect = F.col("redirect_to").isNotNull() if "redirect_to" in pages.columns else F.lit(False)
     base = pages.withColumn("__pm_redirect", redirect)
     if vip is not None:
         base = base.join(vip.select("page", "level"), "page", "left")
     level = F.coalesce("level", F.lit(0)) if vip is not None else F.lit(0)
-    real = base.filter(~F.col("__pm_redirect")).select("page", F.lit("R").alias("kind"), (level * VIP_SCORE + F.octet_length("html")).cast("long").alias("score"))
+    real = base.filter(~F.col("__pm_redirect")).select("page", F.lit("R").alias("kind"), (level * VIP_SCORE + (F.col("size") if "size" in pages.columns else F.octet_length("html"))).cast("long").alias("score"))
     extra = links.select(F.col("dst").alias("page"), F.lit("E").alias("kind"), F.lit(LINK_SCORE).cast("long").alias("score"))
     out = real.unionByName(extra)
     if vip is not None and "redirect_to" in pages.columns:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from pagemill.operators.ranking import same_rows
 
@@ -15,18 +17,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the table at ``path`` doesn't have yet; how many."""
+def append_new(df: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame] = lambda new: new) -> int:
+    """Append the rows whose key the table at ``path`` doesn't have yet; how many. ``make`` is applied to those rows alone.
+
+    Rows are written once and counted by what was written; without new ones nothing is. A table that lacks the key is an error.
+    """
     spark = df.sparkSession
-    try:
+    there = exists(spark, path)
+    if there:
         df = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    except AnalysisException:
-        pass  # the first write
-    df = df.dropDuplicates([key])
-    n = df.count()
-    if n:
-        df.write.mode("append").parquet(path)
-    return n
+        if df.isEmpty():
+            return 0
+    seen = Observation()
+    make(df.dropDuplicates([key])).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def write_if_changed(df: DataFrame, path: str) -> bool:

@@ -30,6 +30,30 @@ def test_build_and_use(spark, pages, tmp_path):
     assert e.random(1).count() == 1 and {r.word for r in e.words().collect()} == {"sol", "luna", "astro"}
 
 
+def test_scores_count_the_page_as_it_came(spark, tmp_path):
+    """What cleaning takes out counts for the score."""
+    long = "<!--" + "x" * 500 + "-->"
+    pages = spark.createDataFrame([("Short", f"<h1>Short</h1>{long}"), ("Long", "<h1>Long</h1><p>" + "y" * 300 + "</p>")], "page string, html string")
+    e = engine.build(pages, str(tmp_path / "c"), ImageType("t", None, (100, 0, 0, 0)))
+    assert [(r.page, r.score) for r in e.chosen.orderBy("idx").collect()] == [("Short", len(f"<h1>Short</h1>{long}")), ("Long", 320)]
+
+
+def test_new_pages_and_images(spark, pages, tmp_path):
+    path, kind = str(tmp_path / "c"), ImageType("t", 2, (100, 0, 0, 0))
+    files = spark.createDataFrame([("commons/a/ab/L.svg", b"<svg><circle></circle></svg>")], "dsk string, content binary")
+    e = engine.build(pages, path, kind, files=files)
+    assert "<svg><circle></circle></svg>" in e.get_article("Luna") and e.get_image("commons/a/ab/L.svg") == b"<svg><circle></circle></svg>" and b"width='7'" in e.get_image("gone", 7, 9)
+    stamp = {f: f.stat().st_mtime_ns for f in sorted(tmp_path.rglob("ready/*.parquet"))}
+    more = pages.unionByName(spark.createDataFrame([("Nueva", "<h1>N</h1>")], "page string, html string"))
+    e = engine.build(more, path, kind, files=files)  # the selection is the same: nothing is made again but what is new
+    assert {f: f.stat().st_mtime_ns for f in sorted(tmp_path.rglob("ready/*.parquet"))} == stamp and spark.read.parquet(f"{path}/parsed").count() == 6
+    big = pages.unionByName(spark.createDataFrame([("Grande", "<h1>Grande</h1>" + '<a href="/wiki/Sol">s</a>' * 1000)], "page string, html string"))
+    e = engine.build(big, path, kind, files=files)
+    assert "Grande" in {r.page for r in e.chosen.collect()} and e.get_article("Grande") and e.get_article("Luna") is None
+    names = spark.createDataFrame([("broken",), ("Sol",)], "name string")
+    assert e.featured(names, 3).first()["name"] == "Sol" and e.featured(names.limit(1), 3).count() == 0
+
+
 def test_command_line(spark, pages, tmp_path, capsys):
     pages.write.parquet(str(tmp_path / "in"))
     cli.main(["build", str(tmp_path / "in"), str(tmp_path / "out")])

@@ -92,4 +92,4 @@ def test_scales(spark):
     for name, size, want in (("math/x.jpg", 9999, 100), ("a.jpg", 2047, 100), ("a.jpg", 2048, 50), ("a.png", 9999, 100), ("a.PNG", 9999, 50)):
         assert one(spark, images.final_scale(F.lit(50), "v", F.lit(size)), name) == want
     assert one(spark, images.scaled_side(F.lit(51), F.lit(50)), "") == 25
-    assert one(spark, images.local_source(F.col("v"), F.lit("10"), F.lit("20")), "a/é b.png") == "/images/a/%C3%A9%20b.png?s=10-20"
+    assert images.local_address("a/é b.png", "10", "20") == "/images/a/%E9%20b.png?s=10-20" and images.local_address("漢", "1", None) == "/images/%E6%BC%A2"

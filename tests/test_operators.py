@@ -205,7 +205,7 @@ def test_blocks(spark, tmp_path):
     table = blocks.to_blocks(items, redirects, 10)
     assert {r.name for r in table.filter("kind = 'redirect'").collect()} == {"r1"}
     blocks.write_blocks(table, str(tmp_path / "b"))
-    store = blocks.Blocks.of(spark, str(tmp_path / "b"), 5)
+    store = blocks.Blocks(spark, str(tmp_path / "b"))
     assert bytes(store.get("p7")) == b"content 7" and bytes(store.get("r1")) == b"content 1" and store.get("x") is None
     for r in blocks.with_offsets(table).filter("kind = 'item'").groupBy("block").agg(F.max(F.col("offset") + F.col("size")).alias("end"), F.sum("size").alias("sum")).collect():
         assert r.end == r.sum
@@ -214,6 +214,61 @@ def test_blocks(spark, tmp_path):
     assert got["p3"] == b"content 3" and b"width='30' height='40'" in got["gone"]
 
 
+def test_blocks_of_which_the_last_is_empty(spark, tmp_path):
+    """The number of blocks is the one that names were spread over, whichever blocks have items."""
+    import hashlib
+
+    names = [n for n in (f"n{i}" for i in range(500)) if int(hashlib.md5(n.encode()).hexdigest()[-6:], 16) % 6 != 5][:6]
+    items = spark.createDataFrame([(n, f"content of {n}") for n in names], "name string, content string")
+    blocks.write_blocks(blocks.to_blocks(items, spark.createDataFrame([("r", names[0]), ("s", "r")], "src string, dst string"), 1), str(tmp_path / "b"))
+    store = blocks.Blocks(spark, str(tmp_path / "b"))
+    assert store.n == 6 and store.get_many([*names, "r", "gone"]) == {**{n: f"content of {n}" for n in names}, "r": f"content of {names[0]}"}
+    plan = store.find([names[0]])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(block" in plan or "PartitionFilters: [block" in plan
+    assert blocks.Blocks(spark, str(tmp_path / "b")).get("nowhere") is None
+
+
+def test_block_report(spark):
+    rows_ = spark.createDataFrame([(1, "a", "item", 60, 25, 50), (1, "b", "item", 40, 25, 50), (1, "c", "redirect", 0, 25, 50), (2, "d", "redirect", 0, 9, 9)], "block long, name string, kind string, size long, header_bytes long, packed_bytes long")
+    assert rows(blocks.block_report(rows_), "block", "items", "redirects", "bytes", "header_pct", "packed_pct") == [(1, 2, 1, 100, 25.0, 50.0), (2, 0, 1, 0, None, None)]
+
+
+def test_what_is_to_be_fetched_and_scaled(spark):
+    table = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    plan = table("dsk string, scale int, web string", ("a", 100, "wa"), ("b", 75, "wb"), ("c", 50, "wc"), ("d", 50, "wd"))
+    assert rows(images.to_download(plan, table("dsk string", ("a",)), table("web string", ("wc",))), "dsk", "web") == [("b", "wb"), ("d", "wd")]
+    got = images.scaling(plan, table("dsk string", ("a",), ("b",), ("c",)), table("dsk string, scale int", ("a", 100), ("b", 50), ("x", 75)))
+    assert rows(got, "dsk", "scale", "todo") == [("a", 100, "same"), ("b", 75, "scale"), ("c", 50, "scale"), ("d", 50, "missing"), ("x", 75, "delete")]
+
+
+def test_embeds_and_strict_joins(spark):
+    page_images = spark.createDataFrame([("p", ["a.svg", "b.png", "a.svg"]), ("q", ["big.svg"]), ("r", [])], "page string, imgs array<string>")
+    files = spark.createDataFrame([("a.svg", b"<svg></svg>"), ("b.png", b"x"), ("big.svg", b" " * 50_000), ("c.svg", b"<svg></svg>")], "dsk string, content binary")
+    assert [(r.page, r.images) for r in images.page_embeds(page_images, files).collect()] == [("p", {"a.svg": "<svg></svg>"})]
+    chosen = spark.createDataFrame([("p", 0), ("unknown", 1)], "page string, idx long")
+    with pytest.raises(Exception, match="no images are known of the page unknown"):
+        images.best_position(page_images, chosen).collect()
+    with pytest.raises(Exception, match="no address is known of the image"):
+        images.image_plan(page_images, chosen.limit(1), spark.createDataFrame([("a.svg", "w")], "dsk string, web string"), (100, 0, 0, 0)).collect()
+
+
+def test_local_images(spark):
+    page = '<img src="//u/a é.png" width="3" height="4" data-file-width="9" alt="t"><a href="/wiki/X"><img src="//u/b.svg"></a><img src="//x/auto"><img src="other" width="5"><img>'
+    known = {"//u/a é.png": ("a é.png", None), "//u/b.svg": ("b.svg", None), "//x/auto": (None, "removed"), "other": (None, "unsupported")}
+    pages = spark.createDataFrame([("p", page)], "page string, html string")
+    sources = spark.createDataFrame([("p", known)], "page string, sources map<string,struct<dsk:string,problem:string>>")
+    embeds = spark.createDataFrame([("p", {"b.svg": "<?xml?><svg><g></g></svg>"})], "page string, images map<string,string>")
+    got = html.rewrite_pages(pages, sources=sources, embeds=embeds).first()["html"]
+    assert got == '<img src="/images/a%20%E9.png?s=3-4" alt="t"><a href="/wiki/X"><svg><g></g></svg></a><img src="other" width="5"><img>'
+
+
+def test_packed_docsets(spark):
+    df = spark.createDataFrame([(1, [(56, 5), (123, 12), (234, 1), (432, 9)]), (2, []), (3, None), (4, [(0, 3), (0, 1)])], "n int, docset array<struct<docid:bigint,pos:int>>")
+    got = {r.n: (r.b, r.back) for r in df.withColumn("b", index.pack_docset("docset")).withColumn("back", index.unpack_docset("b")).collect()}
+    assert bytes(got[1][0]).hex() == "050c0109ff38436fc601" and [tuple(x) for x in got[1][1]] == [(56, 5), (123, 12), (234, 1), (432, 9)]
+    assert bytes(got[2][0]) == b"" and got[2][1] == [] and got[3] == (None, None) and [tuple(x) for x in got[4][1]] == [(0, 1), (0, 3)]
+
+
 def test_stats(spark):
     names = spark.createDataFrame([("corpus-es-0.9-20210416-cd.iso",), ("odd",)], "name string")
     assert rows(stats.release_files(names), "lang", "version", "date", "rest") == [("es", "0.9", datetime.date(2021, 4, 16), "cd.iso")]
