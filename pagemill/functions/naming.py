@@ -103,3 +103,8 @@ def redirect_target(href: Column | str, prefix: str = "/wiki/") -> tuple[Column,
     rest = url_unquote(F.substring(href, len(prefix) + 1, 2**31 - 1))
     fragment = F.when(F.contains(rest, F.lit("#")), F.substring(rest, F.instr(rest, "#") + 1, F.length(rest)))
     return F.substring_index(rest, "#", 1), fragment
+
+
+def is_category(name: Column | str, word: str = "Categoría") -> Column:
+    """Whether a page lists the members of a category, by its name."""
+    return F.contains(_col(name), F.lit(word))

@@ -51,3 +51,13 @@ def random_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
 def cycle(n: Column, total: Column) -> Column:
     """Round robin: the place of turn n among ``total``."""
     return F.pmod(n, total)
+
+
+def random_there(wanted: DataFrame, there: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n of the wanted rows, all that are also there (by ``key``) equally likely: broken ones are passed over, not drawn."""
+    return random_rows(wanted.join(there.select(key).distinct(), key, "left_semi"), n, seed)
+
+
+def picked(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
+    """The rows whose column matches one of the patterns: a hand-picked sample."""
+    return df.filter(F.rlike(column, F.lit("|".join(f"(?:{p})" for p in patterns)))) if patterns else df.limit(0)

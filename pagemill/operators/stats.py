@@ -32,6 +32,21 @@ def release_files(names: DataFrame) -> DataFrame:
     return names.select("name", p(1).alias("lang"), p(2).alias("version"), F.to_date(p(3), "yyyyMMdd").alias("date"), p(4).alias("rest")).filter("lang <> ''")
 
 
+def one_release(names: DataFrame) -> DataFrame:
+    """(lang, version, date, rest) of the files of one release; files of several languages, versions or dates are an error."""
+    rows = release_files(names)
+    kinds = rows.agg(F.count_distinct("lang", "version", "date").alias("__pm_kinds"))
+    mixed = F.raise_error(F.lit("files of several releases")).cast("string")
+    return rows.crossJoin(F.broadcast(kinds)).select(F.when(F.col("__pm_kinds") > 1, mixed).otherwise(F.col("lang")).alias("lang"), "version", "date", "rest")  # one row
+
+
+def formats_of(files: DataFrame, types: DataFrame) -> DataFrame:
+    """(lang, format, size, pages, share), smallest file first: release files (lang, format, size) with what their image
+    type (lang, format, page_limit, image_reduction) includes. A file of an unknown type is left out."""
+    share = included_share(F.col("image_reduction"))
+    return files.join(types, ["lang", "format"]).select("lang", "format", "size", F.col("page_limit").alias("pages"), share.alias("share")).orderBy("size", "lang", "format")
+
+
 def numbered(rows: DataFrame, order: str, partition: str) -> DataFrame:
     """Rows numbered from 1 within their part, with its total."""
     part = Window.partitionBy(partition)
@@ -50,7 +65,3 @@ def included_share(reduction: Column) -> Column:
 def digests(files: DataFrame) -> DataFrame:
     """(path, length, md5, sha1) of binary files."""
     return files.select("path", "length", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"))
-
-
-def parse_release(value: Column) -> Column:
-    return F.to_date(value, "yyyyMMdd")

@@ -645,3 +645,6 @@ def stream_distinct(spark, sf_dir):
     return _drain(_events(spark, sf_dir).select("event_type").dropDuplicates(["event_type"]), "append").select("event_type")
 
 
+
+
+from pagemill.plans import further  # noqa: E402, F401  registers more of them

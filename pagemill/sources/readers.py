@@ -93,3 +93,8 @@ def list_releases(spark: SparkSession, path: str) -> DataFrame:
     """(name, length) of the files of a folder."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", "content")
+
+
+def read_css_links(spark: SparkSession, path: str) -> DataFrame:
+    """(link) of a file of addresses of style sheets, one in a line; blank ones are left out."""
+    return spark.read.text(path).select(F.trim("value").alias("link")).filter("link <> ''")

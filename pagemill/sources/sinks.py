@@ -17,6 +17,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what stands at ``path``, if anything does."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def append_new(df: DataFrame, path: str, key: str, make: Callable[[DataFrame], DataFrame] = lambda new: new) -> int:
     """Append the rows whose key the table at ``path`` doesn't have yet; how many. ``make`` is applied to those rows alone.
 

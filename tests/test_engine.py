@@ -61,6 +61,26 @@ def test_command_line(spark, pages, tmp_path, capsys):
     assert "3 pages" in (out := capsys.readouterr().out) and "Mar Rojo" in out
 
 
+def test_command_line_flags(spark, pages, tmp_path, capsys):
+    pages.write.parquet(str(tmp_path / "in"))
+    out, types = str(tmp_path / "out"), tmp_path / "types.json"
+    types.write_text('{"cd": {"page_limit": 1, "image_reduction": [5, 5, 10, 80]}, "all": {"image_reduction": [100, 0, 0, 0]}}')
+    cli.main(["build", str(tmp_path / "in"), out, "--image-types", str(types), "--image-list"])
+    assert capsys.readouterr().out.split() == ["cd", "all"]
+    (tmp_path / "listing.json").write_text('{"query": {"allpages": [{"title": "Sol"}, {"title": "Mar Rojo"}]}}')
+    (tmp_path / "vip").write_text("Mar_Rojo\n")
+    cli.main(["build", str(tmp_path / "in"), out, "--image-types", str(types), "--image-type", "cd,all", "--listings", str(tmp_path / "listing.json"), "--extra-pages", str(tmp_path / "vip")])
+    assert "cd 1 pages" in (said := capsys.readouterr().out) and "all 2 pages" in said
+    assert {r.page for r in engine.Engine(spark, f"{out}/cd").chosen.collect()} == {"Mar_Rojo"}
+    cli.main(["build", str(tmp_path / "in"), f"{out}/all", "--no-scrap", "--no-clean", "--page-limit", "1"])  # goes on with the two pages parsed before
+    cli.main(["find", f"{out}/all", "S"])
+    assert "own 1 pages" in (said := capsys.readouterr().out) and "item\tSol" in said
+    cli.main(["build", str(tmp_path / "in"), str(tmp_path / "t"), "--test-mode", "--page-limit", "2"])
+    assert "own 1 pages" in capsys.readouterr().out  # of the first two by name one is a redirect
+    with pytest.raises(SystemExit):
+        cli.main(["build", str(tmp_path / "in"), out, "--image-type", "dvd"])
+
+
 def test_processors(spark, pages):
     def length(page, html):
         if page == "Roto":

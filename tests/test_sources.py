@@ -1,9 +1,18 @@
+import bz2
 import gzip
 import json
+import lzma
+import os
+import pickle
+import sqlite3
+import struct
 
+import pytest
 from pyspark.sql import functions as F
 
-from pagemill.sources import readers, sinks
+from pagemill.operators import blocks, index
+from pagemill.sources import built as readers_built
+from pagemill.sources import listing, readers, sinks
 from pagemill.streaming import incremental
 
 
@@ -50,6 +59,76 @@ def test_trees_and_xml(spark, tmp_path):
     assert readers.read_xml_pages(spark, str(tmp_path / "x.xml"), "Foo", part=True).count() == 2
 
 
+def test_page_and_image_blocks(spark, tmp_path):
+    header = pickle.dumps({"Sol": (0, 3), "Luna": (3, 4), "Astro": "Sol"})
+    (tmp_path / "0000000a.cdp").write_bytes(lzma.compress(struct.pack("<l", len(header)) + header + b"solluna"))
+    got = readers_built.read_page_blocks(spark, str(tmp_path / "0000000a.cdp"))
+    assert [(r.block, r.name, r.kind, r.target, r.content and bytes(r.content)) for r in got.orderBy("name").collect()] == [(10, "Astro", "redirect", "Sol", None), (10, "Luna", "item", None, b"luna"), (10, "Sol", "item", None, b"sol")]
+    report = blocks.block_report(got).first()
+    assert (report["items"], report["redirects"], report["bytes"], report["header_pct"]) == (2, 1, 7, round(100 * (4 + len(header)) / 7, 2))
+    packed = lzma.compress(pickle.dumps({"a/b.png": (0, 2)}))
+    (tmp_path / "00000001.cdi").write_bytes(struct.pack("<l", len(packed)) + packed + b"xy")
+    (row,) = readers_built.read_image_blocks(spark, str(tmp_path / "00000001.cdi")).collect()
+    assert (row.block, row.name, bytes(row.content)) == (1, "a/b.png", b"xy")
+
+
+class Entry:
+    def __init__(self, **fields):
+        self.__dict__.update(fields)
+
+
+def test_built_indexes(spark, tmp_path):
+    path = str(tmp_path / "index.sqlite")
+    docs = [Entry(rtype=0, link="S/o/l/Sol", title="Sol", score=60, description="d"), Entry(rtype=2, link=None, title=None, score=0, subtitle="astro rey", orig_docid=0)]
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE docs (pageid INTEGER PRIMARY KEY, word_quants BLOB, data BLOB)")
+        db.execute("CREATE TABLE tokens (word TEXT, docsets BLOB)")
+        db.execute("INSERT INTO docs VALUES (0, ?, ?)", (bytes([1, 2]), lzma.compress(pickle.dumps(docs))))
+        db.executemany("INSERT INTO tokens VALUES (?, ?)", [(w, index.encode_docset(d)) for w, d in (("sol", {0: [0]}), ("astro", {1: [0]}), ("rey", {1: [1]}))])
+    found = index.Index(*readers_built.read_index(spark, path))
+    assert [(r.title, r.subtitle) for r in found.search("rey").collect()] == [("Sol", "astro rey")] and found.count() == 2
+    entries = {0: ("h", "Title", 5, False, "t"), 1: ("h", "Title", 5, False, "t"), 2: ("i", None, 1, True, ""), 3: ("j", "Other", 2, True, "")}
+    (tmp_path / "x.ids.bz2").write_bytes(bz2.compress(pickle.dumps(entries, 2)))
+    assert rows(readers_built.read_old_index(spark, str(tmp_path / "x.ids.bz2")), "link", "title", "score", "is_redir") == [("h", "Title", 5, False), ("j", "Other", 2, True)]
+
+
+def test_nothing_in_a_pickle_runs():
+    class Bad:
+        def __reduce__(self):
+            return os.system, ("exit 1",)
+
+    assert type(readers_built.loads(pickle.dumps(Bad()))).__name__ == "_Record"
+
+
+def test_listing_with_retries(spark):
+    waits = []
+    calls = iter([ValueError(), ValueError(), 7])
+
+    def call():
+        got = next(calls)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    assert listing.retrying(call, sleep=waits.append)() == 7 and waits == [1, 2]
+    calls = iter([ValueError() for _ in range(12)])
+    waits.clear()
+    with pytest.raises(ValueError):
+        listing.retrying(call, attempts=12, sleep=waits.append)()
+    assert waits[-3:] == [256, 300, 300]
+
+    def fetch(namespace, at):
+        if namespace == 12:
+            return {"batchcomplete": ""}
+        n = int(at or 0)
+        answer = {"query": {"allpages": [{"title": f"N {namespace} {n + i}"} for i in range(2)]}}
+        return answer | ({"continue": {"apcontinue": str(n + 2)}} if n < 4 else {})
+
+    titles = lambda **kw: rows(listing.read_listing(spark, fetch, (14, 12, 100), **kw), "title")
+    assert titles() == sorted((f"N_{s}_{i}",) for s in (14, 100) for i in range(6))
+    assert titles(limit=3) == sorted([*((f"N_14_{i}",) for i in range(4)), *((f"N_100_{i}",) for i in range(2))])
+
+
 def test_fetch_list(spark):
     titles = spark.createDataFrame([(t,) for t in ("page_title", "a b", "c", "d", "d")], "title string")
     have = spark.createDataFrame([("c",)], "title string")
