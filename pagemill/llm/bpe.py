@@ -14,14 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.llm.common import spread
+
 #: Rank file of a public tokenizer; any file of the same form can be named instead.
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: What splits a text into words before the merges, with Unicode white space ((?U) in Java).
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words that are replayed at once; their positions take some 30 bytes a character.
 BLOCK_WORDS = 100_000
-#: Encoded words that a worker remembers; beyond it, it starts afresh (a matter of memory, not of results).
-REMEMBERED = 1_000_000
+#: Bytes of memory for the encoded words that a worker remembers; beyond it, it starts afresh (which changes no result).
+REMEMBERED_BYTES = 48_000_000
+#: What a remembered word takes besides its bytes and tokens: the entry of the dictionary and its objects.
+_ENTRY_BYTES = 180
+#: A rank file is sent to all workers; one of more bytes is refused.
+MOST_RANK_BYTES = 50_000_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -67,14 +73,24 @@ class Merges:
         return np.where(self.pairs[at] == key, self.made[at], NONE)
 
     def one(self, word: bytes) -> list[int]:
-        """Plain BPE of one word: join the leftmost pair of lowest rank until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if rank == NONE:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        """Plain BPE of one word: join the leftmost pair of lowest rank until none is left. Pairs wait in a heap, so a very
+        long word takes a time that grows with its length times the logarithm of it."""
+        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+        nxt, prv = [*range(1, len(word)), -1], list(range(-1, len(word) - 1))
+        heap = [(rank, i, parts[i] + parts[i + 1]) for i in range(len(word) - 1) if (rank := self.ranks.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, at, joined = heapq.heappop(heap)
+            right = nxt[at]
+            if parts[at] is None or right < 0 or len(parts[at]) + len(parts[right]) != len(joined) or parts[at] + parts[right] != joined:
+                continue  # one of the two has been joined with another since
+            parts[at], parts[right], nxt[at] = joined, None, nxt[right]
+            if nxt[at] >= 0:
+                prv[nxt[at]] = at
+            for a, b in ((prv[at], at), (at, nxt[at])):
+                if a >= 0 and b >= 0 and (rank := self.ranks.get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (rank, a, parts[a] + parts[b]))
+        return [self.ranks[p] for p in parts if p is not None]
 
     def replay(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the words data[starts[i]:starts[i + 1]] (bytes), end to end, and where each word's tokens start.
@@ -167,12 +183,6 @@ class Merges:
         return self.bytes[spread(self.offsets[tokens], sizes)], sizes
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ... (sizes[i] of them) for all i, end to end."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 @functools.lru_cache(maxsize=2)
 def _merges(data: bytes) -> Merges:
     return Merges(read_ranks(data))
@@ -187,11 +197,12 @@ class Encoder:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.size = 0
         self.tokens, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def words(self, distinct: pa.Array) -> np.ndarray:
         """The place in ``starts`` of each of the words."""
-        if len(self.known) > REMEMBERED:
+        if self.size > REMEMBERED_BYTES:
             self.clear()
         known = self.known
         words = distinct.cast(pa.binary()).to_pylist()
@@ -204,6 +215,7 @@ class Encoder:
             tokens, ends = self.merges.replay(np.frombuffer(b"".join(fresh), np.uint8), starts)
             at[block] = len(known) + np.arange(len(block))
             known.update(zip(fresh, at[block].tolist()))
+            self.size += int(starts[-1]) + 4 * len(tokens) + _ENTRY_BYTES * len(fresh)
             self.tokens = np.concatenate([self.tokens, tokens.astype(np.int32)])
             self.starts = np.concatenate([self.starts, ends[1:] + self.starts[-1]])
         return at
@@ -224,22 +236,27 @@ def _slices(batch: pa.RecordBatch, at: int, most: int = 500_000):
             yield batch.slice(int(a), int(b - a))
 
 
+def _sent(spark, rank_file: str):
+    """The rank file, read by the driver and sent to the workers once, if it is checked to be small."""
+    with open(rank_file, "rb") as f:
+        data = f.read(MOST_RANK_BYTES + 1)
+    if len(data) > MOST_RANK_BYTES:
+        raise ValueError("the rank file is too large to be sent to the workers")
+    return spark.sparkContext.broadcast(data)
+
+
 def encode(docs: DataFrame, rank_file: str = RANK_FILE, check: bool = False) -> DataFrame:
     """``docs`` with tokens (array of int), n_tokens (int) and, on request, round_trip (boolean).
 
     The JVM splits a text into words; a worker replays the merges over the distinct words of a block of the corpus
     at once and puts the documents together from them, so no text or word is shuffled. round_trip says whether
     decoding gives back the bytes of the text. Special tokens are never made: their strings are ordinary text.
-    Cases: a null text has null tokens, 0 of them, and round-trips; an empty text has an empty array; other columns
-    pass through; those named tokens, n_tokens, round_trip are replaced. The rank file (a few MB at most, checked)
-    is read by the driver and sent to the workers once.
+    Cases: a null text has null tokens, 0 of them, and round-trips; an empty text has an empty array; a very long text, or
+    a very long word, is encoded whole; a null in any other column passes through; every repeated row has its own result,
+    the same one; of two pairs of one rank (a tie) the left one is joined first; an empty table gives an empty one; other
+    columns pass through, and those named tokens, n_tokens, round_trip are replaced.
     """
-    with open(rank_file, "rb") as f:
-        data = f.read()
-    if len(data) > 50_000_000:
-        raise ValueError("the rank file is too large to be sent to the workers")
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(data)
+    sent = _sent(docs.sparkSession, rank_file)
     docs = docs.drop("tokens", "n_tokens", "round_trip")
     rows = docs.withColumn("__pm_words", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     extra = [T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType())]
@@ -289,8 +306,7 @@ def decode(encoded: DataFrame, rank_file: str = RANK_FILE, column: str = "decode
 
     An unknown id is an error. Bytes that are not UTF-8 (tokens cut out of a text) become U+FFFD.
     """
-    with open(rank_file, "rb") as f:
-        sent = encoded.sparkSession.sparkContext.broadcast(f.read())
+    sent = _sent(encoded.sparkSession, rank_file)
     kept = encoded.drop(column)
     at = kept.columns.index("tokens")
     schema = T.StructType([*kept.schema.fields, T.StructField(column, T.StringType())])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -67,12 +68,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
     Earlier is by doc_id (null first), digest of the text, position. Blank lines are never dropped. Lines travel as
     128-bit hashes, range-partitioned by hash, document and position: a line that very many documents share is
-    spread over as many ranges as it needs, and the few lines at the range ends are settled in a second step.
+    spread over as many ranges as it needs, and the few lines at the range ends are settled in a second step. The text is
+    read once; a very long line is one hash like any other, and a text of very many lines as many short rows.
     """
     d, k = _keys()
-    lines = docs.select(d, k, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    own = docs.select(d, k, "text")  # below the generator: beside it, the digest of the text would be made anew for each line
+    lines = own.select("d", "k", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     line = F.trim("line")
     hashed = lines.filter(line != "").select(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("pagemill"), line).alias("h2"), "d", "k", "pos")
+    hashed = materialise(hashed, "lines")  # ranges are found by a look at the rows, which would split and hash all texts again
     ranged = hashed.repartitionByRange("h1", "h2", "d", "k", "pos").sortWithinPartitions("h1", "h2", "d", "k", "pos")
     marks = materialise(ranged.mapInArrow(_mark, _MARKS), "marks")  # positions of repeated lines alone
     by_hash = Window.partitionBy("e", "h1", "h2")
@@ -103,8 +107,10 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
 
     keep_runs is the bitmap of kept lines, compressed to the lengths of its runs, kept and dropped in turn, the
     first one of kept lines: "3,1,5" keeps three lines, drops one, keeps five. Cases: a null text has no lines and
-    an empty bitmap, an empty text one blank line; rows of equal doc_id and text are one document, rows of equal
-    doc_id and other text are documents of their own (__pm_k tells them apart); an empty table gives no rows.
+    an empty bitmap, an empty text one blank line; a very long text has the runs of all its lines; rows of equal doc_id
+    and text are one document, rows of equal doc_id and other text are documents of their own (__pm_k tells them apart),
+    and their ties are settled by the digest of the text; a null doc_id comes first and stays null; columns other than
+    doc_id and text are not read, so their names can't clash; an empty table gives no rows.
     """
     d, k = _keys()
     count = F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0)).cast("long")
@@ -117,20 +123,32 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     )
 
 
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines at the positions ``gone``, in one pass over each; null for a null text."""
+    out: list[str | None] = [None] * len(texts)
+    for i in np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)):
+        lines = texts[i].as_py().split("\n")
+        keep = np.ones(len(lines), bool)
+        keep[gone[i].values.to_numpy()] = False
+        out[i] = "\n".join(compress(lines, keep))
+    return pa.array(out, pa.string())
+
+
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents without their dropped lines; one of which no line but blank ones is left goes.
 
     Documents without dropped lines pass unchanged (blank and null texts among them). The column n_chars, if there
     is one, becomes the length of the new text; all other columns pass through. Only the positions of dropped lines
-    are joined to the texts.
+    are joined to the texts, and only texts that lose lines are taken apart. Other cases as in ``keep_bitmaps``.
     """
     d, k = _keys()
-    gone = dropped_lines(docs).groupBy(F.col("d").alias("__pm_gd"), F.col("k").alias("__pm_gk")).agg(F.collect_set("pos").alias("__pm_gone"))
+    gone = dropped_lines(docs).groupBy(F.col("d").alias("__pm_gd"), F.col("k").alias("__pm_gk")).agg(F.array_sort(F.collect_set("pos")).alias("__pm_gone"))
     gone = small(materialise(gone, "gone"), 64 + 4 * F.size("__pm_gone"))
     rows = docs.withColumns({"__pm_d": d, "__pm_k": k})
     joined = rows.join(gone, (F.col("__pm_d") == F.col("__pm_gd")) & (F.col("__pm_k") == F.col("__pm_gk")), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__pm_gone", i))
-    joined = joined.withColumn("__pm_text", F.when(F.col("__pm_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    cut = F.when(F.col("__pm_gone").isNotNull(), F.col("text"))
+    joined = joined.withColumn("__pm_text", F.coalesce(_without(cut, F.col("__pm_gone")), F.col("text")))
     joined = joined.filter(F.col("__pm_gone").isNull() | (F.trim(F.translate("__pm_text", "\n", " ")) != ""))
     new = {"text": F.col("__pm_text"), "n_chars": F.length("__pm_text").cast("long")}
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

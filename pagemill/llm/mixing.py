@@ -81,9 +81,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[
 
     Documents are filtered against the limits of ``thresholds``, which are joined by source: broadcast while
     their written table is below the session's threshold, else shuffled. Cases: a null source is a source of its
-    own; a null or empty text has 0 tokens; a null doc_id has one fixed hash; repeated rows and rows of equal
-    doc_id share a hash, so they stay or go together; an empty table gives an empty result. Other columns pass
-    through; those named mix_tier or mix_tokens are replaced.
+    own; a null or empty text has 0 tokens, a very long one counts whole and stays or goes whole; a null doc_id has one
+    fixed hash; repeated rows and rows of equal doc_id share a hash (a tie), so they stay or go together; an empty table
+    gives an empty result. Other columns pass through; those named mix_tier or mix_tokens are replaced.
     """
     limits = thresholds(docs, weights, shares, stray)
     docs = docs.drop("mix_tier", "mix_tokens")
@@ -103,7 +103,7 @@ WITH d AS (
   SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
          coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 0)::BIGINT AS mix_tokens FROM documents),
 s AS (SELECT source AS bs, sum(mix_tokens)::DOUBLE AS a, sqrt(sum(mix_tokens)::DOUBLE) * sqrt(sqrt(sum(mix_tokens)::DOUBLE)) AS w FROM d GROUP BY source),
-b AS (SELECT bs, w, (SELECT min(a / w) FROM s WHERE a > 0 AND w > 0) AS scale FROM s),
+b AS (SELECT bs, w, (SELECT min(a / w) FROM s WHERE a > 0 AND w > 0 AND a >= 0.01::DOUBLE * (SELECT sum(a * a) / sum(a) FROM s WHERE a > 0 AND w > 0)) AS scale FROM s),
 r AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM d),
 t AS (SELECT doc_id, source, mix_tokens, CASE WHEN upto <= floor(0.25::DOUBLE * scale * w) THEN 1
         WHEN upto <= floor(0.5::DOUBLE * scale * w) THEN 2 WHEN upto <= floor(1.0::DOUBLE * scale * w) THEN 3 END AS mix_tier

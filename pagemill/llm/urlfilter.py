@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import small
+from pagemill.llm.common import BROADCAST_BYTES, small
 from pagemill.storage import materialise
 
 #: Rules: ||host^ anchors at a host, | at an end of the URL, * is any run, ^ a separator or the end; @@ allows.
@@ -60,8 +60,9 @@ def matches(pages: DataFrame, rules=RULES) -> DataFrame:
     How many URLs hold each token of a rule is counted over all URLs; a rule is entered in the index under its
     rarest one (ties: the first in order). The distinct tokens of a URL fetch their rules, and only these run. Rules
     without a whole literal token are fetched by every URL. The index is broadcast if checked to be small. Cases: a
-    null URL matches nothing; an empty URL has no tokens and only meets rules without; a null page_id stays; every
-    repeated row gives its own rows; without rules or pages there are no rows.
+    null URL matches nothing; an empty URL has no tokens and only meets rules without; a very long URL fetches by all its
+    tokens and is matched whole; a null page_id stays; every repeated row gives its own rows; columns other than page_id
+    and url are not read, so their names can't clash; without rules or pages there are no rows.
     """
     spark = pages.sparkSession
     table = rules_table(spark, rules)
@@ -69,12 +70,15 @@ def matches(pages: DataFrame, rules=RULES) -> DataFrame:
     split = F.filter(F.array_distinct(F.split("u", "[^a-z0-9]+")), lambda t: t != "")
     each = urls.select("page_id", "url", "u", F.explode(F.concat(split, F.array(F.lit("")))).alias("token"))
     wanted = table.select("rule_id", F.explode("tokens").alias("token"))
-    seen = each.join(F.broadcast(wanted.select("token").distinct()) if len(rules) <= 1_000_000 else wanted.select("token").distinct(), "token", "left_semi")
+    named = {t for r in rules for t in tokens_of(r.lower())}
+    known = wanted.select("token").distinct()
+    few = sum(64 + len(t) for t in named) <= BROADCAST_BYTES
+    seen = each.join(F.broadcast(known) if few else known, "token", "left_semi")
     seen = seen.groupBy("token").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("rule_id").orderBy(F.coalesce("n", F.lit(0)), "token"))
     rarest = wanted.join(seen, "token", "left").withColumn("r", rank).filter("r = 1").select("rule_id", "token")
     index = table.join(rarest, "rule_id", "left").select("rule_id", "rule", "regex", "allows", F.coalesce("token", F.lit("")).alias("token"))
-    index = small(materialise(index, "rules"), 400)
+    index = small(materialise(index, "rules"), 64 + F.length("rule") + F.length("regex") + F.length("token"))
     return each.join(index, "token").filter(F.rlike("u", "regex")).select("page_id", "url", "rule_id", "rule", "allows")
 
 

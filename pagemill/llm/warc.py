@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import io
+import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,37 +34,63 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("string").alias("record_id"), header.alias("header"), payload.alias("payload"))
 
 
-def parse(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(header with its blank line, payload) of the records in a WARC file, gzipped by record or not.
+def _header(source: BinaryIO) -> bytes:
+    """The next header with its blank line; nothing at the end. Blank lines before it belong to the record before."""
+    line = source.readline()
+    while line == b"\r\n":
+        line = source.readline()
+    out = [line]
+    while line not in (b"\r\n", b""):
+        line = source.readline()
+        out.append(line)
+    if out[0] and line == b"":
+        raise ValueError("header is cut short")
+    return b"".join(out)
+
+
+def parse(source: BinaryIO) -> Iterator[tuple[bytes, bytes]]:
+    """(header with its blank line, payload) of the records of a WARC file as a stream; one record is held at a time.
 
     A record without a valid Content-Length, or cut short, is an error.
     """
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at) + 4
-        header = data[at:end]
+    while header := _header(source):
         fields = dict(line.split(b":", 1) for line in header.split(b"\r\n")[1:] if b":" in line)
         size = int({k.strip().lower(): v for k, v in fields.items()}[b"content-length"])
-        if end + size > len(data):
+        payload = source.read(size)
+        if len(payload) < size:
             raise ValueError("record is cut short")
-        yield header, data[end : end + size]
-        at = end + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        yield header, payload
+
+
+#: Bytes of payload that a reader hands on at a time.
+_BATCH = 16_000_000
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files at ``path``; record_id is the file and the number in it. A file is one task's work."""
+    """The records of the WARC files at ``path``, gzipped by record or not; record_id is the file and the number in it.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, content in zip(files["path"], files["content"]):
-                rows = [(f"{name}#{i}", h, p) for i, (h, p) in enumerate(parse(content))]
-                yield pd.DataFrame(rows, columns=["record_id", "header", "payload"])
+    A file is one task's work. It is read as a stream from the file system that its path names, and handed on in batches
+    of about 16 MB, so a task holds no more than those or one record. Hadoop lists the files but doesn't read them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RECORDS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for names in batches:
+            for name in names["path"]:
+                system, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with system.open_input_stream(at, compression=None) as raw:
+                    buffered = io.BufferedReader(raw, 1 << 20)
+                    source = gzip.GzipFile(fileobj=buffered) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered
+                    rows, size = [], 0
+                    for i, (header, payload) in enumerate(parse(source)):
+                        rows.append((f"{name}#{i}", header, payload))
+                        size += len(payload)
+                        if size > _BATCH:
+                            yield pd.DataFrame(rows, columns=["record_id", "header", "payload"])
+                            rows, size = [], 0
+                    yield pd.DataFrame(rows, columns=["record_id", "header", "payload"])
+
+    return files.mapInPandas(run, RECORDS)
 
 
 def digest(payload: Column) -> Column:
@@ -72,7 +102,8 @@ def archive(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The digest is verified: rows of one SHA-256 must agree in length and in a second digest (MD5), else the job
     fails rather than store one payload for another. Cases: a null payload is stored as no bytes; repeated rows keep
-    a header each; a null header stays null; an empty table gives two empty ones; further columns are left out.
+    a header each; a null header or record_id stays null; a very long payload is one value like any other; payloads of
+    equal bytes (ties) are one; further columns are left out, so their names can't clash; an empty table gives two empty ones.
     """
     payload = F.coalesce("payload", F.lit(b""))
     rows = records.select("record_id", "header", payload.alias("payload"), digest(payload).alias("digest"))

@@ -622,8 +622,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drain(stream: DataFrame, mode: str) -> DataFrame:
     """All that the stream gives, written to the shared folder batch by batch; of a key's updates the last counts."""
     spark = stream.sparkSession
-    base = f"stream-{uuid.uuid4().hex}"
-    out = f"{shared_dir(spark).rstrip('/')}/{base}"
+    out = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/batch_id={n}")

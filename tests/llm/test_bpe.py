@@ -2,6 +2,7 @@ import base64
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -38,6 +39,46 @@ def test_early_words_are_done_singly():
     assert [tokens[a:b].tolist() for a, b in zip(ends, ends[1:])] == [merges.one(w) for w in words]
 
 
+def plain(ranks, word):
+    """BPE by the letter: look for the leftmost pair of lowest rank, join it, look again."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], 10**9), i) for i in range(len(parts) - 1))
+        if rank == 10**9:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_single_words_equal_bpe_by_the_letter(tokenizer):
+    _, enc, ranks = tokenizer
+    merges, rng = bpe.Merges(ranks), random.Random(4)
+    for _ in range(500):
+        word = bytes(rng.choice(b"abcdethin \xc3\xa9") for _ in range(rng.randint(0, 40)))
+        assert merges.one(word) == plain(ranks, word)
+    giant = bytes(rng.choice(b"abcdefghilmnorstu") for _ in range(200_000))
+    assert merges.one(giant) == enc.encode_ordinary(giant.decode())
+
+
+def test_forgetting_words_changes_nothing(tokenizer, monkeypatch):
+    _, _, ranks = tokenizer
+    merges, rng = bpe.Merges(ranks), random.Random(6)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 20_000)
+    encoder = bpe.Encoder(merges)
+    for _ in range(30):
+        words = [bytes(rng.choice(b"abcdethin") for _ in range(rng.randint(1, 9))) for _ in range(200)]
+        places = encoder.words(pa.array(words))
+        assert [encoder.tokens[encoder.starts[p] : encoder.starts[p + 1]].tolist() for p in places] == [merges.one(w) for w in words]
+        assert encoder.size < 20_000 + 200 * 300
+
+
+def test_a_document_of_one_giant_word(spark, make_docs, tokenizer):
+    path, enc, _ = tokenizer
+    text = "".join(random.Random(7).choice("abcdefghiklmno漢é") for _ in range(100_000))
+    (row,) = bpe.encode(make_docs([(1, text, "x", "y")]), path, check=True).collect()
+    assert row.tokens == enc.encode_ordinary(text) and row.round_trip
+
+
 def test_documents_equal_tiktoken_and_round_trip(spark, make_docs, odd_docs, tokenizer):
     path, enc, _ = tokenizer
     rng = random.Random(5)

@@ -60,6 +60,12 @@ def test_a_line_that_spans_ranges(spark, make_docs):
     check(docs)
 
 
+def test_very_long_lines_and_very_many_lines(spark, make_docs):
+    long = "word " * 200_000
+    many = "\n".join(["same line", *(f"own {i}" if i % 3 else "same line" for i in range(100_000))])
+    check(make_docs([(1, long + "\n" + long, "x", "y"), (2, " " + long, "x", "y"), (3, many, "x", "y"), (4, "same line", "x", "y")]))
+
+
 def test_empty_table(no_docs):
     assert linededup.keep_bitmaps(no_docs).count() == 0 and linededup.drop_repeated_lines(no_docs).count() == 0
 

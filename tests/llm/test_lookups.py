@@ -1,5 +1,6 @@
 """Licences, secrets, URL rules and the archive."""
 
+import pathlib
 import re
 
 import pytest
@@ -22,6 +23,30 @@ def test_licence_variants(make_docs):
         [(1, "text", "MIT", 1), (2, "text", "MIT", 1), (3, "text", "MIT", 1), (5, "line", "Apache-2.0", 2), (6, "text", "MIT", 1), (6, "line", "MIT", 1)], key=str)
 
 
+def test_titles_and_lines_that_are_no_part_of_a_licence(make_docs):
+    bsd = next(w for i, w in licenses.KNOWN if i == "BSD-3-Clause")
+    mit = licenses.KNOWN[0][1]
+    texts = [
+        f"BSD 3-Clause License\n\nCopyright (c) 2001, Someone\nAll rights reserved.\n\n{bsd}", f"The MIT License (MIT)\n\nCopyright Jane O'Doe\n\n{mit}", f"Copyright 1999 X Inc.  All Rights Reserved.\n{bsd}",
+        f"COPYRIGHT The Authors of It, \nAll Rights Reserved\n{mit}", f"All rights reserved by law.\n{mit}", f"Copyright Holders are many\n{mit}",
+    ]
+    got = licences(make_docs([(i, t, "", "") for i, t in enumerate(texts)]))
+    assert got == [(0, "text", "BSD-3-Clause", 1), (1, "text", "MIT", 1), (2, "text", "BSD-3-Clause", 1), (3, "text", "MIT", 1)]
+
+
+def test_whole_licences_as_published(make_docs):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not (folder / "GPL-3").exists():
+        pytest.skip("no licence texts on this machine")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(i, (folder / f).read_text().replace("    ", "\t").upper() if i % 2 else (folder / f).read_text(), "", "") for i, f in enumerate(names.values())]
+    assert [g for g in licences(make_docs(rows)) if g[1] == "text"] == [(i, "text", n, 1) for i, n in enumerate(names)]
+
+
+def test_of_two_licences_with_one_wording_the_lesser_counts(make_docs):
+    assert licences(make_docs([(1, "Some words.", "", "")]), known=(("B", "some words"), ("A", "Some: words")), long=()) == [(1, "line", "A", 1), (1, "text", "A", 1)]
+
+
 def test_licences_of_odd_rows(odd_docs, no_docs):
     known = (("LINE", "one line here"), ("EMPTY", ""))
     got = licences(odd_docs, known=known)
@@ -56,6 +81,13 @@ def test_names_of_secrets_in_any_case_and_quoted(make_docs):
     assert got == sorted([(i, "assigned", 1, 1, 1, 5, "live") for i in range(5)], key=str)
 
 
+def test_long_secrets_are_whole(make_docs):
+    """Secrets that share their first 200 characters are different ones, and a long token of a kind is found."""
+    start = "aB3dE5fG7h" * 20
+    rows = [(1, f"token = {start}one-of-two" + "x1" * 20, "en", "me"), (2, f"token = {start}two-of-two" + "y2" * 20, "en", "you"), (3, "xoxb-" + "12345abcde" * 12, "en", "me")]
+    assert verdicts(make_docs(rows)) == [(1, "assigned", 1, 1, 1, 1, "live"), (2, "assigned", 1, 1, 1, 1, "live"), (3, "slack_token", 1, 1, 1, 1, "example")]
+
+
 def test_secrets_of_odd_rows(make_docs, odd_docs, no_docs):
     assert verdicts(odd_docs) == [] and verdicts(no_docs) == []
     rows = [(None, KEY, None, None), (None, KEY, None, None), (1, KEY, None, "a"), (2, None, None, None), (3, "x " * 50_000 + KEY, "en", "a")]

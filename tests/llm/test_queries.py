@@ -1,10 +1,12 @@
 """Every query with SQL against DuckDB, and the pipeline against a brute-force version."""
 
+import re
+
 import duckdb
 import pytest
 
 import corpus_pipeline
-from pagemill.llm import bpe, mixing, queries
+from pagemill.llm import bpe, mixing, quality, queries
 from test_linededup import brute as brute_lines
 from test_mixing import brute as brute_mix
 from test_quality import brute as brute_quality
@@ -30,7 +32,7 @@ def test_pipeline_against_brute_force(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     ids = list(docs)
     far = brute_quality([(docs[i].lang, docs[i].source, docs[i].text) for i in ids])
-    texts = {i: docs[i].text for i, d in zip(ids, far) if not d > 35.888}
+    texts = {i: docs[i].text for i, d in zip(ids, far) if not d > quality.CUTOFF}
     kept = {i: k for (i, _), k in brute_lines([(i, t) for i, t in texts.items()]).items()}
     cut = {i: "\n".join(x for x, k in zip(t.split("\n"), kept[i]) if k) for i, t in texts.items()}
     cut = {i: t for i, t in cut.items() if all(kept[i]) or t.strip(" \n")}
@@ -44,7 +46,21 @@ def test_pipeline_against_brute_force(spark):
 
 
 def test_stages_on_odd_rows(spark, odd_docs, no_docs):
-    for _, stage in corpus_pipeline.STAGES:
-        out = stage(spark, odd_docs, "")
-        assert set(odd_docs.columns) <= set(out.columns) and out.count() > 0
-        assert stage(spark, no_docs, "").count() == 0
+    """Each stage on nulls, empty and long texts, ties, repeated rows and columns of clashing names, by value."""
+    rows_ = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    everything = sorted(str(i) for i, _ in rows_)
+    kept = brute_lines(rows_)
+    cut = [(i, t if all(kept[i, t]) else "\n".join(x for x, k in zip(t.split("\n"), kept[i, t]) if k)) for i, t in rows_]
+    lines = [(i, t) for (i, t), (j, u) in zip(cut, rows_) if all(kept[j, u]) or t.strip(" \n")]
+    stages = {name: stage(spark, odd_docs, "") for name, stage in corpus_pipeline.STAGES}
+    ids = {name: sorted(str(r.doc_id) for r in out.select("doc_id").collect()) for name, out in stages.items()}
+    assert ids["quality rules"] == ids["bpe encoding"] == everything
+    got = [(r.doc_id, r.text, r.n_chars) for r in stages["line dedup"].collect()]
+    assert sorted(got, key=str) == sorted(((i, t, len(t) if t is not None and (i, t) not in rows_ else len(t or "")) for i, t in lines), key=str)
+    assert ids["simhash near-dedup"] == sorted(map(str, [1, 1, 2, 3, None, None, 4, 6, 7, 7, 8, -3]))
+    tokens = {(r.doc_id, r.text): r.n_tokens for r in stages["bpe encoding"].collect()}
+    assert tokens[2, None] == tokens[3, ""] == 0 and tokens[9, "One line here."] == 4
+    plain = [(i, s, len(re.findall(r"[^ \t\n\r\f\x0b]+", t or ""))) for (i, t), s in zip(rows_, [r.source for r in odd_docs.collect()])]
+    assert ids["source mixing"] == sorted(str(r[0]) for r in brute_mix(plain))
+    for name, stage in corpus_pipeline.STAGES:
+        assert set(odd_docs.columns) <= set(stages[name].columns) | {"tokens"} and stage(spark, no_docs, "").count() == 0
