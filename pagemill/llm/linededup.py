@@ -139,7 +139,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents without their dropped lines; one of which no line but blank ones is left goes.
 
     Documents without dropped lines pass unchanged (blank and null texts among them). The column n_chars, if there
-    is one, becomes the length of the new text; all other columns pass through. Only the positions of dropped lines
+    is one, becomes the length of a text that lost lines; all other columns pass through. Only the positions of dropped lines
     are joined to the texts, and only texts that lose lines are taken apart. Other cases as in ``keep_bitmaps``.
     """
     d, k = _keys()
@@ -150,7 +150,8 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     cut = F.when(F.col("__pm_gone").isNotNull(), F.col("text"))
     joined = joined.withColumn("__pm_text", F.coalesce(_without(cut, F.col("__pm_gone")), F.col("text")))
     joined = joined.filter(F.col("__pm_gone").isNull() | (F.trim(F.translate("__pm_text", "\n", " ")) != ""))
-    new = {"text": F.col("__pm_text"), "n_chars": F.length("__pm_text").cast("long")}
+    fresh = F.when(F.col("__pm_gone").isNotNull(), F.length("__pm_text").cast("long"))
+    new = {"text": F.col("__pm_text"), "n_chars": F.coalesce(fresh, F.col("n_chars"))}
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
