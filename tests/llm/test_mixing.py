@@ -11,13 +11,15 @@ def h60(doc_id):
     return int(hashlib.md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest()[:15], 16)
 
 
-def brute(rows, weights=None, shares=mixing.SHARES):
-    """rows: (doc_id, source, tokens) -> list of (doc_id, source, tokens, tier)."""
+def brute(rows, weights=None, shares=mixing.SHARES, stray=0.0):
+    """rows: (doc_id, source, tokens) -> list of (doc_id, source, tokens, tier); stray sources do not limit the scale."""
     total = {}
     for _, s, n in rows:
         total[s] = total.get(s, 0) + n
     w = {s: (math.sqrt(a) * math.sqrt(math.sqrt(a)) if weights is None else weights.get(s, 0.0)) for s, a in total.items()}
-    scale = min((a / w[s] for s, a in total.items() if a > 0 and w[s] > 0), default=0.0)
+    counting = {s: a for s, a in total.items() if a > 0 and w[s] > 0}
+    least = stray * sum(a * a for a in counting.values()) / sum(counting.values()) if counting else 0.0
+    scale = min((a / w[s] for s, a in counting.items() if a >= least), default=0.0)
     out = []
     for s in total:
         if w[s] <= 0:

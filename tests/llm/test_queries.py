@@ -38,7 +38,7 @@ def test_pipeline_against_brute_force(spark):
     cut = {i: t for i, t in cut.items() if all(kept[i]) or t.strip(" \n")}
     gone = groups(brute_near(cut))
     alone = {i: t for i, t in cut.items() if i not in gone}
-    mixed = {r[0] for r in brute_mix([(i, docs[i].source, len(t.split())) for i, t in alone.items()])}
+    mixed = {r[0] for r in brute_mix([(i, docs[i].source, len(t.split())) for i, t in alone.items()], stray=mixing.STRAY)}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert len(set(got) ^ mixed) <= 0.03 * len(mixed)  # near copies that the search misses
     assert all(got[i].text == cut[i] and got[i].n_chars == len(cut[i]) for i in got)
@@ -61,6 +61,6 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
     tokens = {(r.doc_id, r.text): r.n_tokens for r in stages["bpe encoding"].collect()}
     assert tokens[2, None] == tokens[3, ""] == 0 and tokens[9, "One line here."] == 4
     plain = [(i, s, len(re.findall(r"[^ \t\n\r\f\x0b]+", t or ""))) for (i, t), s in zip(rows_, [r.source for r in odd_docs.collect()])]
-    assert ids["source mixing"] == sorted(str(r[0]) for r in brute_mix(plain))
+    assert ids["source mixing"] == sorted(str(r[0]) for r in brute_mix(plain, stray=mixing.STRAY))
     for name, stage in corpus_pipeline.STAGES:
         assert set(odd_docs.columns) <= set(stages[name].columns) | {"tokens"} and stage(spark, no_docs, "").count() == 0
