@@ -45,7 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: sources are cut to the largest mixture of the target weights.
 
-    A null source is one of its own; null and empty texts have 0 tokens; rows of one doc_id share a hash, so they stay or
+    A source of less than ``mixing.STRAY`` of the tokens of a usual one does not limit the others and is used up whole. A null
+    source is one of its own; null and empty texts have 0 tokens; rows of one doc_id share a hash, so they stay or
     go together, as do ties; a null doc_id has one fixed hash.
     """
     return mixing.mix(docs, stray=mixing.STRAY).select(*docs.columns)
