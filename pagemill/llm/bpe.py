@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import spread
+from pagemill.llm.common import give_back, spread
 
 #: Rank file of a public tokenizer; any file of the same form can be named instead.
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -287,7 +287,9 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, check: bool = False) ->
                 if check:
                     columns.append(_round_trip(merges, batch.column(text_at), tokens, counts, null))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            pa.default_memory_pool().release_unused()  # the worker lives on
+            give_back()
+        encoder.clear()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,16 @@ from pagemill.storage import materialise
 
 #: Arrow batches are cut into pieces of about so many characters, so that long texts don't add up.
 PIECE_CHARS = 1_500_000
+#: The C library's call that gives freed memory back to the system, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Give freed memory of Arrow, numpy and Python back to the system: a worker lives on between tasks and stages, and what
+    it keeps adds up with the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def pieces(batch: pa.RecordBatch, text_at: int = 1):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import small
+from pagemill.llm.common import give_back, small
 from pagemill.storage import materialise
 
 #: Stands for a null doc_id inside this module; a document of this very id counts as one of null id.
@@ -132,6 +132,7 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
         keep = np.ones(len(lines), bool)
         keep[gone[i].values.to_numpy()] = False
         out[i] = "\n".join(compress(lines, keep))
+    give_back()
     return pa.array(out, pa.string())
 
 

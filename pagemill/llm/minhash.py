@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import components, in_cells, mix64, numbered, pairs_within, pieces, runs, small, unique_per_owner, word_hashes, words
+from pagemill.llm.common import components, give_back, in_cells, mix64, numbered, pairs_within, pieces, runs, small, unique_per_owner, word_hashes, words
 from pagemill.storage import materialise
 
 #: Words in a shingle; a shorter text is one shingle.
@@ -93,7 +93,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
             ids = batch.column(0).take(pa.array(owner[heads]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(d1), pa.array(d2), pa.array(size.astype(np.int32)), bands], names=["id", "d1", "d2", "n", "bands"])
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        give_back()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists.append(pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())))
             rest = [batch.column(3 + i).filter(pa.array(right)) for i in range(len(_MEMBER))]
             yield pa.RecordBatch.from_arrays([*rest, *lists], names=[*_MEMBER, "s", "bands"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _jaccards(lists: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

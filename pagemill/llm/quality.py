@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import pieces, spread
+from pagemill.llm.common import give_back, pieces, spread
 from pagemill.storage import materialise
 
 #: Least standard deviation of each statistic: differences below it never count as unusual.
@@ -83,6 +83,7 @@ _STRUCT = T.StructType([T.StructField(f"x{i}", T.DoubleType(), False) for i in r
 def _statistics(texts: pa.Array) -> pa.Array:
     parts = [plain_statistics(b.column(0)) for b in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), 0)]
     x = np.concatenate(parts) if parts else np.zeros((0, DIM))
+    give_back()
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(DIM)], names=[f"x{i}" for i in range(DIM)])
 
 
