@@ -11,33 +11,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import components, count_per_owner, give_back, in_cells, numbered, pairs_within, pieces, runs, small, words
+from pagemill.llm.common import components, count_per_owner, give_back, in_cells, numbered, pairs_within, pieces, runs, small, spread, words
 from pagemill.storage import materialise
 
-#: A fingerprint has BITS bits, cut into SEGMENTS segments. Segments about as wide as the binary logarithm of the number
-#: of documents keep the tables sparse: nine of 28 or 29 bits serve some hundred millions, eight of 32 some billions, at
-#: the price of recall near the greatest distance; ten of 25 or 26 find more there, but more that is in vain too.
+#: A fingerprint has BITS bits, cut into SEGMENTS segments; fingerprints that share one are linked first.
 BITS, SEGMENTS = 256, 9
 #: A word weighs as many times more as it has letters, up to so many: short words are mostly those that unrelated
 #: texts share, which would bring their fingerprints together (the mean distance is 119 with it, 100 without).
 LETTERS = 4
 #: Greatest distance of two near copies.
 DISTANCE = 40
-#: Rows of the ball tables carry 62 bits of the fingerprint, spread evenly over it. Two fingerprints DISTANCE apart differ
-#: in 9.7 of them on average, with a standard deviation of 2.5; pairs that differ in more than LIKELY aren't fetched
-#: (1 % of the pairs at that very distance, hardly any nearer ones).
-LIKELY = 15
 #: Rows of one key, or fingerprints of one group, that are compared by one task at a time; larger ones are cut into parts.
 PART = 2048
+#: Fingerprints, up to WIDE of them, are searched by segments that differ in at most one bit, more by fewer, wider segments
+#: that differ in at most two: these compare fewer pairs but look into more buckets.
+WIDE = 2**21
+#: A table of more fingerprints than this is cut by leading bits of the segment, so that a task sees about two times as many.
+CELL = 2**20
+#: Cells are compared by no more tasks than these; beyond, a task has several, one after the other.
+MOST_TASKS = 4096
 _F = [f"f{i}" for i in range(BITS // 64)]
-_WIDTHS = [BITS // SEGMENTS + (i < BITS % SEGMENTS) for i in range(SEGMENTS)]
-_WIDEST = max(_WIDTHS)
-#: A ball row is two longs: segment number and value above 34 bits of the fingerprint; node above the other 28.
-_KEY_BITS, _NODE_BITS = 34, 28
-#: Ball rows are partitioned by their key without its lowest bits, so that half of a fingerprint's rows for a segment go
-#: to one partition, one after the other, where they compress well; some 300,000 values are left to partition by.
-_NEIGHBOUR_BITS = 14
-_SAMPLE = np.arange(_KEY_BITS + _NODE_BITS) * BITS // (_KEY_BITS + _NODE_BITS)
+#: So many pairs are compared by one numpy call.
+_BLOCK = 2**15
 
 
 def _bits(distinct: pa.Array) -> np.ndarray:
@@ -89,17 +84,19 @@ def prints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_print_batches, "id long, " + ", ".join(f"{c} long" for c in _F))
 
 
-def _segments(prints: np.ndarray) -> list[np.ndarray]:
-    """Each segment of the fingerprints (n x BITS / 64, uint64) with its number above its value, as int64."""
-    out, at = [], 0
-    for i, width in enumerate(_WIDTHS):
-        word, shift = divmod(at, 64)
-        value = prints[:, word] >> np.uint64(shift)
-        if shift + width > 64:
-            value |= prints[:, word + 1] << np.uint64(64 - shift)
-        out.append((value & np.uint64(2**width - 1)).astype(np.int64) | i << _WIDEST)
-        at += width
-    return out
+def _cuts(segments: int) -> list[tuple[int, int]]:
+    """Where each of so many segments of about one width begins, and its width."""
+    widths = [BITS // segments + (i < BITS % segments) for i in range(segments)]
+    return [(sum(widths[:i]), width) for i, width in enumerate(widths)]
+
+
+def _window(prints: np.ndarray, at: int, width: int) -> np.ndarray:
+    """``width`` bits, 64 at most, from bit ``at`` on of the fingerprints (n x BITS / 64, uint64), as a ring."""
+    word, shift = divmod(at, 64)
+    value = prints[:, word] >> np.uint64(shift)
+    if shift + width > 64:
+        value |= prints[:, (word + 1) % len(_F)] << np.uint64(64 - shift)
+    return value & np.uint64(2**width - 1)
 
 
 def _matrix(columns: list) -> np.ndarray:
@@ -110,71 +107,19 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each fingerprint under the value of each of its segments: (key, node, f0..f3) from (node, f0..f3)."""
     for batch in batches:
         prints = _matrix([batch.column(i + 1).to_numpy() for i in range(len(_F))])
-        for key in _segments(prints):
+        for i, (at, width) in enumerate(_cuts(SEGMENTS)):
+            key = _window(prints, at, width).astype(np.int64) | i << 32
             yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["key", "node", *_F])
 
 
-def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under every value at distance 0 or 1 of each segment: rows (key, node, comp), key and node with
-    their bits of the fingerprint below them, from (node, comp, f0..f3)."""
-    for whole in batches:
-        for a in range(0, whole.num_rows, 4000):
-            batch = whole.slice(a, 4000)
-            prints = _matrix([batch.column(i + 2).to_numpy() for i in range(len(_F))])
-            sample = np.unpackbits(prints.view(np.uint8), axis=1)[:, _SAMPLE].astype(np.int64)
-            high = sample[:, :_KEY_BITS] @ (1 << np.arange(_KEY_BITS, dtype=np.int64))
-            low = sample[:, _KEY_BITS:] @ (1 << np.arange(_NODE_BITS, dtype=np.int64))
-            node = batch.column(0).to_numpy() << _NODE_BITS | low
-            for width, value in zip(_WIDTHS, _segments(prints)):
-                flips = np.r_[0, 1 << np.arange(width)].astype(np.int64)
-                keys = (value[:, None] ^ flips) << _KEY_BITS | high[:, None]
-                ball = [pa.array(keys.ravel()), pa.array(np.repeat(node, width + 1)), pa.array(np.repeat(batch.column(1).to_numpy(), width + 1))]
-                yield pa.RecordBatch.from_arrays(ball, names=["key", "node", "comp"])
-
-
-_FOUND = "a long, b long, key long, comp long"
+_FOUND = "a long, b long, key long"
 
 
 def _rows(**columns) -> pa.RecordBatch:
-    """A batch of _FOUND: a pair (a, b), or a fingerprint (b, comp) of a run that is still to be compared in parts."""
+    """A batch of _FOUND: a pair (a, b), or a fingerprint b of a run that is still to be compared in parts."""
     n = len(columns["b"])
-    arrays = [pa.array(columns[c]) if c in columns else pa.nulls(n, pa.int64()) for c in ("a", "b", "key", "comp")]
-    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "key", "comp"])
-
-
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify from ball rows sorted by key: fingerprints of different components (0: one of its own) that
-    differ in at most LIKELY of the carried bits. A run that is longer than PART, or would give more than a few pairs a
-    row, is given out row by row instead."""
-    for (key, node, comp), heads, sizes, whole in runs(batches, lambda c: [c[0] >> _KEY_BITS], PART):
-        if not whole:
-            yield _rows(b=node >> _NODE_BITS, key=key >> _KEY_BITS, comp=comp)
-            continue
-        several = sizes > 1
-        several[several] = (np.maximum.reduceat(comp, heads) != np.minimum.reduceat(comp, heads))[several] | (np.minimum.reduceat(comp, heads) == 0)[several]
-        take = np.repeat(several, sizes)
-        key, node, comp = key[take], node[take], comp[take]
-        sizes = sizes[several]
-        heads = np.cumsum(sizes) - sizes
-        met = []
-        for i, j in pairs_within(heads, sizes):
-            apart = (comp[i] != comp[j]) | (comp[i] == 0)
-            i, j = i[apart], j[apart]
-            differ = np.bitwise_count((key[i] ^ key[j]) & (2**_KEY_BITS - 1)) + np.bitwise_count((node[i] ^ node[j]) & (2**_NODE_BITS - 1))
-            met.append((i[differ <= LIKELY], j[differ <= LIKELY]))
-        if not met:
-            continue
-        i, j = (np.concatenate(x) for x in zip(*met))
-        run = np.repeat(np.arange(len(sizes)), sizes)
-        many = np.bincount(run[i], minlength=len(sizes)) > 4 * sizes
-        if many.any():
-            own = many[run]
-            yield _rows(b=node[own] >> _NODE_BITS, key=key[own] >> _KEY_BITS, comp=comp[own])
-            i, j = i[~many[run[i]]], j[~many[run[i]]]
-        if len(i):
-            pairs = np.sort(np.stack([node[i] >> _NODE_BITS, node[j] >> _NODE_BITS], axis=1), axis=1)
-            pairs = np.unique(pairs, axis=0)
-            yield _rows(a=pairs[:, 0], b=pairs[:, 1])
+    arrays = [pa.array(columns[c]) if c in columns else pa.nulls(n, pa.int64()) for c in ("a", "b", "key")]
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "key"])
 
 
 def _tree(ids: np.ndarray, prints: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -279,35 +224,139 @@ def _in_parts(rows: DataFrame, nodes: DataFrame, distance: int) -> DataFrame:
     return sorted_cells.mapInArrow(_link(distance, 3), _FOUND).select("a", "b")
 
 
+class _Search:
+    """Finds all pairs at most ``distance`` apart among n fingerprints, in cells that are compared by themselves.
+
+    There are just so many segments that in each such pair some differ in at most ``radius`` bits. More than that: read as a
+    ring from a certain one of those on, each run of segments differs in no more than its share of ``distance``, by the
+    number of segments (cycle lemma). So pairs whose segments are that near are compared by one word from there on, and what
+    is left of them by all. A cell is a segment and two values of its first ``lead`` bits (which differ in at most ``radius``).
+    """
+
+    def __init__(self, distance: int, n: int):
+        self.distance, self.radius = distance, 1 if n <= WIDE else 2
+        self.cuts = _cuts(min(distance // (self.radius + 1) + 1, BITS))
+        #: A bucket is named by no more bits of a segment than leave it some tens of fingerprints.
+        self.most = max(n.bit_length() - 6, 1)
+        self.lead = min(max((n - 1) // CELL, 0).bit_length(), self.most, *(w for _, w in self.cuts))
+        leads = range(2**self.lead)
+        near = [x for x in leads if x.bit_count() <= self.radius]
+        self.pairs = [(a, a ^ x) for a in leads for x in near if a <= a ^ x]
+        number = {p: i for i, p in enumerate(self.pairs)}
+        #: By the first bits of a segment, the cells that a fingerprint is in.
+        self.places = np.array([[number[min(a, a ^ x), max(a, a ^ x)] for x in near] for a in leads], np.int32)
+        self.cells = len(self.cuts) * len(self.pairs)
+
+    def key(self, prints: np.ndarray, segment: int) -> tuple[np.ndarray, int]:
+        """Its bucket by a segment, and how many bits that has."""
+        at, width = self.cuts[segment]
+        bits = min(width, self.most)
+        return _window(prints, at, bits).astype(np.int64), bits
+
+    def place(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each fingerprint in each of its cells: (cell, node, comp, f0..f3) from (node, comp, f0..f3)."""
+        for batch in batches:
+            prints = _matrix([batch.column(i + 2).to_numpy() for i in range(len(_F))])
+            for segment in range(len(self.cuts)):
+                key, bits = self.key(prints, segment)
+                places = self.places[key >> bits - self.lead] + np.int32(segment * len(self.pairs))
+                for cell in places.T:
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], names=["cell", "node", "comp", *_F])
+
+    def links(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between different components from rows of ``place``, sorted by cell."""
+        for columns, heads, sizes, _ in runs(batches, lambda c: c[:1]):
+            for a, n in zip(heads, sizes):
+                cell, node, comp, *prints = (c[a : a + n] for c in columns)
+                yield from self._cell(int(cell[0]), node, comp, _matrix(prints))
+            del columns, cell, node, comp, prints
+            give_back()
+
+    def _cell(self, cell: int, node: np.ndarray, comp: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        segment, pair = divmod(cell, len(self.pairs))
+        one, two = self.pairs[pair]
+        key, bits = self.key(prints, segment)
+        order = np.argsort(key, kind="stable")
+        key, node, comp, prints = key[order], node[order], comp[order], prints[order]
+        starts = np.searchsorted(key, np.arange(2**bits + 1))
+        flips = [0, *(1 << i for i in range(bits))]
+        flips = np.unique([x ^ y for x in flips for y in (flips if self.radius == 2 else [0])])
+        flips = flips[(flips >> bits - self.lead) == one ^ two]
+        at, run, length = self.cuts[segment][0], 0, 0
+        while run < len(self.cuts) and length + self.cuts[(segment + run) % len(self.cuts)][1] <= 64:
+            length, run = length + self.cuts[(segment + run) % len(self.cuts)][1], run + 1
+        share = max(run, 1) * self.distance // len(self.cuts)  # of a segment wider than a word, its first 64 bits
+        words = _window(prints, at, length or 64)
+        top = np.arange(len(node))  # a forest over the rows; rows of one component have one root from the first
+        _, first, which = np.unique(comp, return_index=True, return_inverse=True)
+        top[comp > 0] = first[which][comp > 0]
+        buckets = np.unique(key)
+        for bucket in buckets[buckets >> bits - self.lead == one].tolist():
+            others = bucket ^ flips
+            others = others[others >= bucket] if one == two else others
+            begin, size = starts[others], starts[others + 1] - starts[others]
+            meet = spread(begin[size > 0], size[size > 0])
+            if not len(meet):
+                continue
+            against = words[meet]
+            most = max(_BLOCK // len(meet), 1)
+            for a in range(starts[bucket], starts[bucket + 1], most):
+                rows = words[a : min(a + most, starts[bucket + 1]), None]
+                hit = np.flatnonzero(np.bitwise_count(rows ^ against) <= share)
+                if len(hit):
+                    i, j = np.divmod(hit, len(meet))
+                    yield from self._joined(i + a, meet[j], top, node, prints)
+
+    def _joined(self, i: np.ndarray, j: np.ndarray, top: np.ndarray, node: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of pairs of rows those that are near and join two trees, which ``top`` then has as one."""
+        u, v = _root(top, i), _root(top, j)
+        i, j = i[u != v], j[u != v]
+        near = np.bitwise_count(prints[i] ^ prints[j]).sum(1) <= self.distance
+        i, j = i[near], j[near]
+        while len(i):
+            u, v = _root(top, i), _root(top, j)
+            apart = u != v
+            i, j, u, v = i[apart], j[apart], u[apart], v[apart]
+            below, take = np.unique(np.maximum(u, v), return_index=True)
+            top[below] = np.minimum(u, v)[take]  # each root under a lesser one: no rings
+            if len(take):
+                ends = np.sort(np.stack([node[i[take]], node[j[take]]], axis=1), axis=1)
+                yield _rows(a=ends[:, 0], b=ends[:, 1])
+
+
+def _root(top: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The root of each row's tree; the rows are hung below it."""
+    root = top[rows]
+    while len(further := np.flatnonzero(top[root] != root)):
+        root[further] = top[root[further]]
+    top[rows] = root
+    return root
+
+
 def near_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b), a < b, of rows (node, f0..f3) with fingerprints at most ``distance`` apart, as many as it takes to
-    join all that meet into groups. ``nodes`` is a written table with distinct nodes, below 2**35, and fingerprints.
-
-    First fingerprints that share a segment are compared; what they link are components, and nearly all of a large group
-    of near copies is one. Then the ball of radius 1 around each segment is enumerated once and is table and query alike,
-    so segments at distance 2 meet; pairs of different components that may be near by the bits that the rows carry
-    are fetched, and complete distances decide. Every pair at most 26 apart meets for certain, as one of the nine segments
-    is within 2; 1 % are missed at distance 32, 6 % at 36, 18 % at 40 (counted over all places of the bits that differ),
-    unless third documents join the pair. Runs of one key beyond PART rows are compared in parts of PART.
+    join all that are linked by such pairs into groups. ``nodes`` is a written table with distinct nodes and fingerprints.
+
+    First fingerprints that share one of SEGMENTS segments are compared; what they link are components, and nearly all of a
+    large group of near copies is one. Then all pairs of different components are searched (``_Search``): no pair is left
+    out, by distance or by the size of a bucket. Pairs that are compared grow with the square of the fingerprints: about
+    0.14 of all by segments at distance 1, 0.03 by segments at distance 2. Runs of one shared segment beyond PART rows
+    are compared in parts of PART.
     """
     nodes = nodes.select("node", *_F)
-    exact = nodes.mapInArrow(_exact, "key long, node long, " + ", ".join(f"{c} long" for c in _F))
+    prints = ", ".join(f"{c} long" for c in _F)
+    exact = nodes.mapInArrow(_exact, f"key long, node long, {prints}")
     exact = exact.repartition("key").sortWithinPartitions("key")
     first = materialise(exact.mapInArrow(_link(distance, 1), _FOUND), "exact")
     long = _in_parts(first.filter("a IS NULL").select(F.col("key").alias("root"), F.col("b").alias("node")), nodes, distance)
     first = materialise(first.filter("a IS NOT NULL").select("a", "b").unionByName(long).distinct(), "exact_links")
     roots = materialise(components(first).select(F.col("id").alias("node"), (F.col("root") + 1).alias("comp")), "comps")
     placed = nodes.join(small(roots, 16), "node", "left").select("node", F.coalesce("comp", F.lit(0)).alias("comp"), *_F)
-    balls = placed.mapInArrow(_balls, "key long, node long, comp long")
-    met = balls.repartition(F.shiftright("key", _KEY_BITS + _NEIGHBOUR_BITS)).sortWithinPartitions("key")
-    met = materialise(met.mapInArrow(_crossing, _FOUND), "crossing")
-    rest = met.filter("a IS NULL").select(F.col("key").alias("root"), F.col("b").alias("node"), "comp")
-    mixed = rest.groupBy("root").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most OR least = 0").select("root")
-    long = _in_parts(rest.join(mixed, "root", "left_semi").select("root", "node"), nodes, distance)
-    one, two = (nodes.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in _F]) for x in "ab")
-    pairs = met.filter("a IS NOT NULL").select("a", "b").distinct().join(one, "a").join(two, "b")
-    far = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _F), F.lit(0))
-    return first.unionByName(pairs.filter(far <= distance).select("a", "b")).unionByName(long)
+    search = _Search(distance, nodes.count())
+    cells = placed.mapInArrow(search.place, f"cell int, node long, comp long, {prints}")
+    cells = cells.repartitionById(min(search.cells, MOST_TASKS), F.col("cell")).sortWithinPartitions("cell")
+    met = materialise(cells.mapInArrow(search.links, _FOUND).select("a", "b"), "met")
+    return first.unionByName(met.distinct())
 
 
 def _placed(docs: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:

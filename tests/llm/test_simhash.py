@@ -118,6 +118,53 @@ def test_recall_of_lone_pairs_near_the_limit(spark):
     assert share[20] == share[26] == 1 and share[32] >= 0.97 and share[36] >= 0.9 and share[40] >= 0.75 and share[41] == 0
 
 
+def lone_pairs(rng, far, times):
+    """Pairs (2 i, 2 i + 1) of fingerprints at each distance of ``far``, ``times`` of each, as rows, and their distances."""
+    rows, at = [], {}
+    for k in far:
+        for _ in range(times):
+            one = rng.integers(-(2**63), 2**63, simhash.BITS // 64, dtype=np.int64)
+            at[len(rows)] = k
+            rows += [[len(rows), *one.tolist()], [len(rows) + 1, *flipped(rng, one, k).tolist()]]
+    return rows, at
+
+
+@pytest.mark.parametrize(("wide", "cell"), [(simhash.WIDE, simhash.CELL), (0, simhash.CELL), (simhash.WIDE, 900), (0, 900)])
+def test_no_pair_up_to_the_limit_is_left_out(spark, monkeypatch, wide, cell):
+    """By segments at distance 1 and at 2, with whole tables and with cells of leading bits."""
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rows, at = lone_pairs(np.random.default_rng(7), range(27, 43), 100)
+    links = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame(rows, ["node", *simhash._F])).collect()}
+    assert links == {(i, i + 1) for i, k in at.items() if k <= simhash.DISTANCE}
+
+
+def test_a_pair_is_found_however_its_bits_lie(spark):
+    """Bits that differ all in one place, evenly spread, or as many in each segment as there can be."""
+    rng, rows = np.random.default_rng(8), []
+    for places in (range(40), range(216, 256), range(0, 240, 6), [*range(0, 256, 13), *range(1, 256, 13)], range(108, 148)):
+        one = rng.integers(-(2**63), 2**63, simhash.BITS // 64, dtype=np.int64)
+        bits = np.unpackbits(one.view(np.uint8), bitorder="little")
+        bits[list(places)[:40]] ^= 1
+        rows += [[len(rows), *one.tolist()], [len(rows) + 1, *np.packbits(bits, bitorder="little").view(np.int64).tolist()]]
+    links = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame(rows, ["node", *simhash._F])).collect()}
+    assert links == {(i, i + 1) for i in range(0, len(rows), 2)}
+
+
+def test_a_crowded_bucket_is_searched_whole(spark):
+    """Fingerprints that all share a segment and more, with pairs among them and none else near."""
+    rng = np.random.default_rng(9)
+    rows, at = lone_pairs(rng, [38, 40], 600)
+    shared = rng.integers(0, 2**40)
+    for row in rows:
+        row[1] = row[1] >> 40 << 40 | int(shared)
+    prints = np.array([row[1:] for row in rows]).view(np.uint64)
+    far = {i: int(np.bitwise_count(prints[i] ^ prints[i + 1]).sum()) for i in at}
+    assert max(far.values()) <= simhash.DISTANCE
+    links = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame(rows, ["node", *simhash._F])).collect()}
+    assert links == {(i, i + 1) for i in at}
+
+
 def test_a_large_group_makes_few_links(spark, make_docs):
     rng = random.Random(8)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
@@ -166,3 +213,19 @@ def test_query_against_brute_force(spark):
     got = {r.doc_id: (r.duplicate_of, r.n_links) for r in simhash.query(spark, sf).collect()}
     assert len(set(got) ^ set(want)) <= 0.01 * len(want)
     assert sum(got.get(i) == (r, degree[i]) for i, r in want.items()) >= 0.99 * len(want)
+
+
+def test_links_and_groups_equal_those_of_brute_force(spark, make_docs, corpus):
+    """Every document, group and number of links, on texts edited so much that many pairs lie near the limit."""
+    rng = random.Random(12)
+    vocabulary = sorted({w for t in corpus.values() for w in t.split()})
+    texts = dict(enumerate(corpus.values()))
+    for _ in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 200))]
+        for rate in (0, 0.1):
+            texts[len(texts)] = " ".join(edited(rng, base, rate, vocabulary))
+    pairs = brute(texts)
+    assert sum(d > 26 for d in pairs.values()) > 100
+    want, degree = groups(pairs), Counter(i for p in pairs for i in p)
+    got = {r.doc_id: (r.duplicate_of, r.n_links) for r in simhash.duplicates(make_docs([(i, t, "x", "y") for i, t in texts.items()])).collect()}
+    assert got == {i: (r, degree[i]) for i, r in want.items()}
