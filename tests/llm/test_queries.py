@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB, and the pipeline against a brute-force version."""
 
+import random
 import re
 
 import duckdb
@@ -64,3 +65,17 @@ def test_stages_on_odd_rows(spark, odd_docs, no_docs):
     assert ids["source mixing"] == sorted(str(r[0]) for r in brute_mix(plain, stray=mixing.STRAY))
     for name, stage in corpus_pipeline.STAGES:
         assert set(odd_docs.columns) <= set(stages[name].columns) | {"tokens"} and stage(spark, no_docs, "").count() == 0
+
+
+def test_near_dedup_stage_leaves_out_no_near_copy(spark, make_docs):
+    """Pairs of texts, most of them near the greatest distance: of each that is within it the later document goes."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(6000)]
+    texts = {}
+    for _ in range(200):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 200))]
+        for rate in (0, 0.1):
+            texts[len(texts)] = " ".join(rng.choice(vocabulary) if rng.random() < rate else w for w in words)
+    docs = make_docs([(i, t, "x", "y") for i, t in texts.items()])
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert kept == texts.keys() - groups(brute_near(texts)).keys()
