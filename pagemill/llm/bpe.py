@@ -24,10 +24,12 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 BLOCK_WORDS = 100_000
 #: Bytes of memory for the encoded words that a worker remembers; beyond it, it starts afresh (which changes no result).
 REMEMBERED_BYTES = 48_000_000
-#: What a remembered word takes besides its bytes and tokens: the entry of the dictionary and its objects.
-_ENTRY_BYTES = 180
+#: What a remembered word takes besides its bytes and tokens: two offsets, and its entry in the hash table of a look-up.
+_ENTRY_BYTES = 100
 #: A rank file is sent to all workers; one of more bytes is refused.
 MOST_RANK_BYTES = 50_000_000
+#: Pairs that are looked up at once.
+_LOOK_UP = 65_536
 NONE = np.int32(2**31 - 1)
 
 
@@ -68,9 +70,12 @@ class Merges:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair makes, NONE where it makes none."""
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.made[at], NONE)
+        out = np.empty(len(left), np.int32)
+        for lo in range(0, len(left), _LOOK_UP):
+            key = left[lo : lo + _LOOK_UP].astype(np.int64) << 32 | right[lo : lo + _LOOK_UP]
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            out[lo : lo + _LOOK_UP] = np.where(self.pairs[at] == key, self.made[at], NONE)
+        return out
 
     def one(self, word: bytes) -> list[int]:
         """Plain BPE of one word: join the leftmost pair of lowest rank until none is left. Pairs wait in a heap, so a very
@@ -196,7 +201,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        #: In Arrow, as a dictionary of Python's objects takes several times the bytes; of word i the tokens begin at starts[i].
+        self.known = pa.array([], pa.binary())
         self.size = 0
         self.tokens, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -204,23 +210,29 @@ class Encoder:
         """The place in ``starts`` of each of the words."""
         if self.size > REMEMBERED_BYTES:
             self.clear()
-        known = self.known
-        words = distinct.cast(pa.binary()).to_pylist()
-        at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        distinct = distinct.cast(pa.binary())
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(at < 0)
         for lo in range(0, len(new), BLOCK_WORDS):
             block = new[lo : lo + BLOCK_WORDS]
-            fresh = [words[i] for i in block]
-            starts = np.r_[0, np.cumsum([len(w) for w in fresh])]
-            tokens, ends = self.merges.replay(np.frombuffer(b"".join(fresh), np.uint8), starts)
-            at[block] = len(known) + np.arange(len(block))
-            known.update(zip(fresh, at[block].tolist()))
-            self.size += int(starts[-1]) + 4 * len(tokens) + _ENTRY_BYTES * len(fresh)
+            data, starts = _bytes(distinct.take(pa.array(block)))
+            tokens, ends = self.merges.replay(data, starts)
+            at[block] = len(self.starts) - 1 + np.arange(len(block))
+            self.size += int(starts[-1]) + 4 * len(tokens) + _ENTRY_BYTES * len(block)
             self.tokens = np.concatenate([self.tokens, tokens.astype(np.int32)])
             self.starts = np.concatenate([self.starts, ends[1:] + self.starts[-1]])
+        if len(new) and self.size <= REMEMBERED_BYTES:  # else all is forgotten before the next look-up
+            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(new))])
         return at
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary ``words`` end to end, and where each word begins and the last ends."""
+    _, offsets, data = words.buffers()
+    starts = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+
+
 def _list(values: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.ListArray:
     offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32), mask=np.r_[null, False])
     return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
@@ -265,35 +277,49 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, check: bool = False) ->
     text_at, words_at = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _merges(sent.value)
-        encoder = Encoder(merges)
-        for whole in batches:
-            coded = whole.column(words_at).flatten().dictionary_encode()
-            places, codes = encoder.words(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
-            done = 0
-            for batch in _slices(whole, words_at):
-                lists = batch.column(words_at)
-                null = pc.is_null(lists).to_numpy(zero_copy_only=False)
-                per_doc = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                at = places[codes[done : done + per_doc.sum()]]
-                done += len(at)
-                sizes = encoder.starts[at + 1] - encoder.starts[at]
-                tokens = encoder.tokens[spread(encoder.starts[at], sizes)]
-                ends = np.r_[0, np.cumsum(sizes)]
-                stops = np.cumsum(per_doc)
-                counts = ends[stops] - ends[stops - per_doc]
-                columns = [batch.column(i) for i in range(words_at)]
-                columns += [_list(tokens, counts, null), pa.array(counts.astype(np.int32))]
-                if check:
-                    columns.append(_round_trip(merges, batch.column(text_at), tokens, counts, null))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            give_back()
-        encoder.clear()
-        give_back()
+        return _encoded(batches, _merges(sent.value), schema.names, text_at if check else None)
 
     return rows.mapInArrow(run, schema)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], merges: Merges, names: list[str], text_at: int | None) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is the words of the text, encoded. Nothing of a batch is held while the next is read."""
+    encoder = Encoder(merges)
+    for whole in batches:
+        yield from _encoded_batch(whole, encoder, names, text_at)
+        del whole
+        give_back()
+    encoder.clear()
+    give_back()
+
+
+def _encoded_batch(whole: pa.RecordBatch, encoder: Encoder, names: list[str], text_at: int | None) -> Iterator[pa.RecordBatch]:
+    words_at = whole.num_columns - 1
+    slices = list(_slices(whole, words_at))
+    flat = [b.column(words_at).flatten() for b in slices]
+    coded = pa.chunked_array([f for f in flat if len(f)], whole.schema.field(words_at).type.value_type).dictionary_encode()  # one dictionary for all chunks
+    places = encoder.words(coded.chunk(0).dictionary) if coded.num_chunks else np.zeros(0, np.int64)
+    codes = iter([c.indices for c in coded.chunks])
+    del flat, coded
+    give_back()
+    for batch in slices:
+        lists = batch.column(words_at)
+        null = pc.is_null(lists).to_numpy(zero_copy_only=False)
+        per_doc = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = places[next(codes).to_numpy(zero_copy_only=False) if per_doc.any() else np.zeros(0, np.int64)]
+        sizes = encoder.starts[at + 1] - encoder.starts[at]
+        tokens = encoder.tokens[spread(encoder.starts[at], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)]
+        stops = np.cumsum(per_doc)
+        counts = ends[stops] - ends[stops - per_doc]
+        columns = [batch.column(i) for i in range(words_at)]
+        columns += [_list(tokens, counts, null), pa.array(counts.astype(np.int32))]
+        if text_at is not None:
+            columns.append(_round_trip(encoder.merges, batch.column(text_at), tokens, counts, null))
+        del at, sizes, tokens, ends
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def _round_trip(merges: Merges, texts: pa.Array, tokens: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.Array:
     data, sizes = merges.decode(tokens.astype(np.int64))
     ends, stops = np.r_[0, np.cumsum(sizes)], np.cumsum(counts)

@@ -136,6 +136,9 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+_once = _without.asNondeterministic()
+
+
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents without their dropped lines; one of which no line but blank ones is left goes.
 
@@ -149,7 +152,8 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({"__pm_d": d, "__pm_k": k})
     joined = rows.join(gone, (F.col("__pm_d") == F.col("__pm_gd")) & (F.col("__pm_k") == F.col("__pm_gk")), "left")
     cut = F.when(F.col("__pm_gone").isNotNull(), F.col("text"))
-    joined = joined.withColumn("__pm_text", F.coalesce(_without(cut, F.col("__pm_gone")), F.col("text")))
+    # named nondeterministic, which it isn't: else the filter would have it run twice, in a second worker that then lives on beside the first
+    joined = joined.withColumn("__pm_text", F.coalesce(_once(cut, F.col("__pm_gone")), F.col("text")))
     joined = joined.filter(F.col("__pm_gone").isNull() | (F.trim(F.translate("__pm_text", "\n", " ")) != ""))
     fresh = F.when(F.col("__pm_gone").isNotNull(), F.length("__pm_text").cast("long"))
     new = {"text": F.col("__pm_text"), "n_chars": F.coalesce(fresh, F.col("n_chars"))}

@@ -1,5 +1,6 @@
 import base64
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,44 @@ def test_forgetting_words_changes_nothing(tokenizer, monkeypatch):
         assert encoder.size < 20_000 + 200 * 300
 
 
+def test_remembered_words_take_few_bytes():
+    """A worker lives on beside the executor's heap: a dictionary of Python's objects took some 180 bytes a word."""
+    encoder = bpe.Encoder(bpe.Merges({bytes([i]): i for i in range(256)} | {b"zz": 256}))
+    words = pa.array([f"{i:06d}" for i in range(100_000)])
+    encoder.words(words.slice(0, 10))
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    places = encoder.words(words)
+    taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow - places.nbytes
+    tracemalloc.stop()
+    assert encoder.words(words).tolist() == places.tolist()
+    assert taken < 60 * len(words)
+
+
+@pytest.mark.parametrize("check", [False, True])
+def test_nothing_of_a_batch_is_held_while_the_next_is_read(check):
+    """Batches with long, null and empty texts, some with no word at all, each freed before the next; none of 0 rows fails."""
+    merges, texts = bpe.Merges({bytes([i]): i for i in range(256)} | {b"zz": 256}), [["ab " * 400_000, None, "", "ba"], [None, ""], [], ["c" * 600_000, "d"]]
+    seen, at_start = [], None
+
+    def batches():
+        nonlocal at_start
+        at_start = pa.total_allocated_bytes()
+        for some in texts:
+            seen.append(pa.total_allocated_bytes() - at_start)
+            words = [None if t is None else t.split() for t in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["text", "words"])
+
+    names = ["text", "tokens", "n_tokens", *["round_trip"] * check]
+    got = []
+    for b in bpe._encoded(batches(), merges, names, 0 if check else None):
+        got += zip(b.column("tokens").to_pylist(), b.column("n_tokens").to_pylist())
+        del b
+    whole = [None if t is None else list("".join(t.split()).encode()) for some in texts for t in some]
+    assert got == [(t, len(t or ())) for t in whole]
+    assert max(seen) < 100_000  # the first batch has megabytes
+
+
 def test_a_document_of_one_giant_word(spark, make_docs, tokenizer):
     path, enc, _ = tokenizer
     text = "".join(random.Random(7).choice("abcdefghiklmno漢é") for _ in range(100_000))

@@ -66,6 +66,12 @@ def test_very_long_lines_and_very_many_lines(spark, make_docs):
     check(make_docs([(1, long + "\n" + long, "x", "y"), (2, " " + long, "x", "y"), (3, many, "x", "y"), (4, "same line", "x", "y")]))
 
 
+def test_texts_are_taken_apart_once(make_docs):
+    """Run in the filter and again for the result, it took two workers for each task, which live on in later stages."""
+    out = linededup.drop_repeated_lines(make_docs([(1, "a\nb", "x", "y"), (2, "b\nc", "x", "y")]))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_empty_table(no_docs):
     assert linededup.keep_bitmaps(no_docs).count() == 0 and linededup.drop_repeated_lines(no_docs).count() == 0
 
