@@ -28,7 +28,11 @@ REMEMBERED_BYTES = 48_000_000
 _ENTRY_BYTES = 100
 #: A rank file is sent to all workers; one of more bytes is refused.
 MOST_RANK_BYTES = 50_000_000
-#: Pairs that are looked up at once.
+#: A word of no more bytes is sent to the workers as its size, one byte.
+_BYTE_SIZE = 127
+#: Words whose places a worker has at once, about; a batch of more is cut, and one very long text stays whole.
+_WORDS = 6_000_000
+#: Pairs that are looked up at once, and runs of values that are copied at once.
 _LOOK_UP = 65_536
 NONE = np.int32(2**31 - 1)
 
@@ -185,7 +189,7 @@ class Merges:
     def decode(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all tokens end to end, and how many are of each token."""
         sizes = self.offsets[tokens + 1] - self.offsets[tokens]
-        return self.bytes[spread(self.offsets[tokens], sizes)], sizes
+        return _gather(self.bytes, self.offsets[tokens], sizes), sizes
 
 
 @functools.lru_cache(maxsize=2)
@@ -233,6 +237,16 @@ def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[starts[i]:starts[i] + sizes[i]] for all i, end to end. In pieces, as an index of all takes 24 bytes a value."""
+    ends = np.r_[0, np.cumsum(sizes)]
+    out = np.empty(int(ends[-1]), values.dtype)
+    for lo in range(0, len(sizes), _LOOK_UP):
+        hi = min(lo + _LOOK_UP, len(sizes))
+        out[ends[lo] : ends[hi]] = values[spread(starts[lo:hi], sizes[lo:hi])]
+    return out
+
+
 def _list(values: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.ListArray:
     offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32), mask=np.r_[null, False])
     return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
@@ -260,7 +274,7 @@ def _sent(spark, rank_file: str):
 def encode(docs: DataFrame, rank_file: str = RANK_FILE, check: bool = False) -> DataFrame:
     """``docs`` with tokens (array of int), n_tokens (int) and, on request, round_trip (boolean).
 
-    The JVM splits a text into words; a worker replays the merges over the distinct words of a block of the corpus
+    The JVM splits a text into words and sends their sizes with it; a worker replays the merges over the distinct words of a block of the corpus
     at once and puts the documents together from them, so no text or word is shuffled. round_trip says whether
     decoding gives back the bytes of the text. Special tokens are never made: their strings are ordinary text.
     Cases: a null text has null tokens, 0 of them, and round-trips; an empty text has an empty array; a very long text, or
@@ -270,16 +284,64 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, check: bool = False) ->
     """
     sent = _sent(docs.sparkSession, rank_file)
     docs = docs.drop("tokens", "n_tokens", "round_trip")
-    rows = docs.withColumn("__pm_words", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     extra = [T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType())]
     extra += [T.StructField("round_trip", T.BooleanType())] if check else []
     schema = T.StructType([*docs.schema.fields, *extra])
-    text_at, words_at = docs.columns.index("text"), len(docs.columns)
+    text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _encoded(batches, _merges(sent.value), schema.names, text_at if check else None)
+        return _encoded(_worded(batches, text_at), _merges(sent.value), schema.names, text_at if check else None)
+
+    return _with_sizes(docs).mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, schema)
+
+def _with_sizes(docs: DataFrame) -> DataFrame:
+    """``docs`` and what tells the words of each text, in three columns: a text to take instead (of one that is not UTF-8, as
+    the JVM reads it; else null), the size of each word in bytes, -1 for each long one, and the sizes of the long ones.
+
+    The words end to end are the text, so it is sent to the workers once. As strings they took the bytes of the text again,
+    and four for each word, in every buffer between the JVM and the worker.
+    """
+    size, words = F.octet_length, F.col("__pm_words")
+    sizes = F.transform(words, lambda w: F.when(size(w) > _BYTE_SIZE, -1).otherwise(size(w)).cast("byte"))
+    rows = docs.withColumn("__pm_words", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    rows = rows.withColumns({"__pm_text": F.when(~F.is_valid_utf8("text"), F.array_join(words, "")), "__pm_sizes": sizes, "__pm_words": words})
+    long = F.when(F.array_contains("__pm_sizes", F.lit(-1).cast("byte")), F.transform(F.filter(words, lambda w: size(w) > _BYTE_SIZE), size))
+    return rows.select(*docs.columns, "__pm_text", "__pm_sizes", long.alias("__pm_long"))
+
+
+def _worded(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``_with_sizes`` by ``_with_words``, those of many words in parts. None is held while the next is read."""
+    for batch in batches:
+        yield from map(functools.partial(_with_words, text_at=text_at), _slices(batch, batch.num_columns - 2, _WORDS))
+        del batch
+
+
+def _with_words(batch: pa.RecordBatch, text_at: int) -> pa.RecordBatch:
+    """A batch of ``_with_sizes`` with the words of each text as its last column instead: places in the text, whose bytes are
+    not copied."""
+    *kept, instead, sizes, long = batch.columns
+    texts = batch.column(text_at)
+    if instead.null_count < len(instead):
+        texts = pc.coalesce(instead, texts)
+    large = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    begins = np.frombuffer(offsets, np.int64 if large else np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    each = sizes.flatten().to_numpy(zero_copy_only=False)
+    if len(more := long.flatten()):
+        each = each.astype(np.int32)
+        each[each < 0] = more.to_numpy(zero_copy_only=False)
+    places = np.empty(len(each) + 1, begins.dtype)
+    places[0] = begins[0]
+    np.cumsum(each, dtype=places.dtype, out=places[1:])
+    places[1:] += begins[0]
+    stops = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False))].astype(np.int32)
+    if (places[stops] != begins).any():
+        raise ValueError("the words of a text don't make up the text")
+    words = pa.Array.from_buffers(pa.large_binary() if large else pa.binary(), len(each), [None, pa.py_buffer(places), data or pa.py_buffer(b"")])
+    null = pc.is_null(sizes).to_numpy(zero_copy_only=False)
+    lists = pa.ListArray.from_arrays(pa.array(stops, mask=np.r_[null, False]), words)
+    return pa.RecordBatch.from_arrays([*kept, lists], names=[*batch.schema.names[:-3], "__pm_words"])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], merges: Merges, names: list[str], text_at: int | None) -> Iterator[pa.RecordBatch]:
@@ -308,7 +370,7 @@ def _encoded_batch(whole: pa.RecordBatch, encoder: Encoder, names: list[str], te
         per_doc = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = places[next(codes).to_numpy(zero_copy_only=False) if per_doc.any() else np.zeros(0, np.int64)]
         sizes = encoder.starts[at + 1] - encoder.starts[at]
-        tokens = encoder.tokens[spread(encoder.starts[at], sizes)]
+        tokens = _gather(encoder.tokens, encoder.starts[at], sizes)
         ends = np.r_[0, np.cumsum(sizes)]
         stops = np.cumsum(per_doc)
         counts = ends[stops] - ends[stops - per_doc]

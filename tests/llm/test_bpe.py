@@ -130,6 +130,65 @@ def test_documents_equal_tiktoken_and_round_trip(spark, make_docs, odd_docs, tok
         assert (r.tokens, r.n_tokens) == ((None, 0) if r.text is None else (enc.encode_ordinary(r.text), len(r.tokens)))
 
 
+def test_words_are_not_sent_beside_their_text(spark, make_docs, monkeypatch):
+    """As strings they more than doubled what each task has in buffers of the JVM and of its worker."""
+    docs, sent = make_docs([(i, "Some words, 12 of them: it's a short text. " * 50, "x", "y") for i in range(40)]), []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **k: sent.append(self) or real(self, *a, **k))
+    assert bpe.encode(docs, check=True).filter("round_trip").count() == 40
+    assert sent[0].toArrow().nbytes < 1.5 * sum(len(r.text) for r in docs.collect())
+
+
+def test_sizes_of_words_of_any_length_and_texts_that_are_not_utf8(spark, tokenizer):
+    """Words about the size that one byte holds, and bytes that the JVM replaces, in three cases of which one keeps its length."""
+    path, enc, _ = tokenizer
+    texts = [b" ".join([b"a" * n, "é".encode() * n, b"b" * 126]) for n in (62, 63, 64, 126, 127, 128, 129, 255, 256, 40_000)]
+    texts += [b"ab \xff cd", b"x \xed\xa0\x80 y", b"\xc3", b"", None, b"q" * 500 + b"\xe2\x82 ok"]
+    docs = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in enumerate(texts)], "i int, raw binary").coalesce(1)
+    got = bpe.encode(docs.selectExpr("i", "cast(raw as string) AS text"), path, check=True).drop("text").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.i]
+        read = None if t is None else t.replace(b"\xed\xa0\x80", "\ufffd".encode()).decode("utf-8", "replace")  # the JVM replaces it by one, Python by three
+        assert r.tokens == (None if t is None else enc.encode_ordinary(read)) and r.n_tokens == len(r.tokens or ())
+        assert r.round_trip == (t is None or read.encode() == t)
+
+
+def test_batches_of_many_words_are_cut_and_not_held(odd_docs, monkeypatch):
+    """What a worker takes for the words' places must not grow with the batch; the words are those that the JVM splits."""
+    monkeypatch.setattr(bpe, "_WORDS", 7)
+    docs = odd_docs.select("doc_id", "text").coalesce(1)
+    want = [r.w for r in docs.select(bpe.F.regexp_extract_all("text", bpe.F.lit(bpe.PATTERN), bpe.F.lit(0)).alias("w")).collect()]
+    whole = bpe._with_sizes(docs).toArrow().combine_chunks().to_batches()[0]
+    held, parts, got, buffers = [], 0, [], whole.serialize()
+    schema, before = whole.schema, pa.total_allocated_bytes()
+
+    def batches():
+        for _ in range(3):
+            held.append(pa.total_allocated_bytes() - before)
+            yield pa.ipc.read_record_batch(pa.py_buffer(buffers.to_pybytes()), schema)
+
+    for b in bpe._worded(batches(), 1):
+        assert b.num_rows == 1 or sum(len(w or ()) for w in b.column(2).to_pylist()[:-1]) < 2 * 7
+        got += [None if w is None else [x.decode() for x in w] for w in b.column(2).to_pylist()]
+        parts += 1
+        del b
+    assert got == want * 3 and parts > 3 * 5
+    assert max(held) < 100_000
+
+
+def test_decoding_takes_few_bytes(tokenizer):
+    """An index of every byte, three times over, took 24 bytes for each."""
+    merges = bpe.Merges(tokenizer[2])
+    tokens = np.full(1_000_000, merges.ranks[b" the"], np.int64)
+    tracemalloc.start()
+    data, sizes = merges.decode(tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert data.tobytes() == b" the" * len(tokens) and sizes.sum() == len(data)
+    assert peak < 12 * len(data)  # 4 of them for what comes back with the bytes, by token
+
+
 def test_empty_table(no_docs):
     assert bpe.decode(bpe.encode(no_docs, check=True)).count() == 0
 
