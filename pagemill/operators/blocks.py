@@ -34,8 +34,9 @@ def to_blocks(items: DataFrame, redirects: DataFrame | None = None, per_block: i
 
 
 def with_offsets(blocks: DataFrame) -> DataFrame:
-    """The blocks with the offset of each item in its block, in order of name."""
-    before = Window.partitionBy("block").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    """The blocks with the offset of each item in its block, in order of name; of one name the smaller comes first, then by
+    what is in it, so that the offsets don't depend on how the rows came."""
+    before = Window.partitionBy("block").orderBy("name", "size", F.xxhash64("content")).rowsBetween(Window.unboundedPreceding, -1)
     return blocks.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
 
 

@@ -214,6 +214,17 @@ def test_blocks(spark, tmp_path):
     assert got["p3"] == b"content 3" and b"width='30' height='40'" in got["gone"]
 
 
+def test_offsets_of_items_with_one_name(spark):
+    """They follow from the items, not from the order in which these came."""
+    items = [("n", "aaaaa"), ("n", "bbb"), ("n", "abb"), ("m", "x")]
+    found = []
+    for order in (items, items[::-1]):
+        rows_ = spark.createDataFrame(order, "name string, content string").coalesce(1)
+        found.append(rows(blocks.with_offsets(blocks.to_blocks(rows_, per_block=10)), "name", "content", "offset"))
+    assert found[0] == found[1]
+    assert [x for x in found[0] if x[1] in ("x", "aaaaa")] == [("m", "x", 0), ("n", "aaaaa", 7)]
+
+
 def test_blocks_of_which_the_last_is_empty(spark, tmp_path):
     """The number of blocks is the one that names were spread over, whichever blocks have items."""
     import hashlib
