@@ -51,10 +51,16 @@ def date_of(text: Column | str) -> Column:
     return F.to_date(text, "yyyyMMdd")
 
 
+def _tenths(value: Column) -> Column:
+    """A number rounded to one decimal as it stands in memory, halves to the even one; Java's %.1f would take them up."""
+    whole = F.floor(value)
+    return whole + F.rint((value - whole) * 10) / 10  # what is behind the point is exact, its tenfold for whole bytes too
+
+
 def size_in_units(size: Column) -> Column:
-    """Bytes as MB or GB with one decimal."""
+    """Bytes as MB or GB with one decimal; a null stays null."""
     gb = size / F.lit(1024.0**3)
-    return F.when(gb >= 1, F.format_string("%.1f GB", gb)).otherwise(F.format_string("%.1f MB", size / F.lit(1024.0**2)))
+    return F.when(gb >= 1, F.format_string("%.1f GB", _tenths(gb))).when(gb < 1, F.format_string("%.1f MB", _tenths(size / F.lit(1024.0**2))))
 
 
 def size_of_image(param: Column | str) -> Column:

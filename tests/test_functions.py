@@ -72,6 +72,16 @@ def test_small_text_functions(spark):
     assert one(spark, text.featured("v"), "<h1>T</h1><p>one</p><h2>") == ("T", "<p>one</p>") and one(spark, text.featured("v"), "x") is None
 
 
+def test_sizes_are_rounded_as_c_does(spark):
+    """Halves to the even decimal, and by the number itself, not by its shortest decimal form."""
+    mb, gb = 2.0**20, 2.0**30
+    sizes = [None, 0.0, 1.0, mb / 20, mb / 4, 3 * mb / 4, 781.25 * mb, 781.75 * mb, 1023.95 * mb, gb - 1, gb, 1.25 * gb, 1.75 * gb, 2.05 * gb, 0.15 * mb, 99999.25 * gb, 819200000.0, 818900000.0]
+    sizes += [n * 100000.0 for n in range(1, 30000, 7)] + [float(n) for n in range(52428, 10**7, 9999)]
+    got = spark.createDataFrame([(s,) for s in sizes], "v double").select("v", text.size_in_units(F.col("v")).alias("r")).collect()
+    for r in got:
+        assert r.r == (None if r.v is None else "%.1f GB" % (r.v / gb) if r.v >= gb else "%.1f MB" % (r.v / mb)), r
+
+
 @pytest.mark.parametrize("link,want", [("x?modules=first.module", ["first.module"]), ("x?modules=foo.bar,baz", ["foo.bar", "foo.baz"]), ("x?a=b&amp;modules=foo.bar%2Cbaz%7Ca.b.c", ["foo.bar", "foo.baz", "a.b.c"]), ("x?only=1", [])])
 def test_module_names(spark, link, want):
     assert one(spark, css.module_names("v"), link) == want
