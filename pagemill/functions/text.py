@@ -58,7 +58,7 @@ def _tenths(value: Column) -> Column:
 
 
 def size_in_units(size: Column) -> Column:
-    """Bytes as MB or GB with one decimal; a null stays null."""
+    """Whole bytes as MB or GB with one decimal; a null stays null."""
     gb = size / F.lit(1024.0**3)
     return F.when(gb >= 1, F.format_string("%.1f GB", _tenths(gb))).when(gb < 1, F.format_string("%.1f MB", _tenths(size / F.lit(1024.0**2))))
 
