@@ -306,6 +306,16 @@ def test_cleaning_leaves_others(kept):
     assert html.clean(root) == {} and html.body_html(root) == kept
 
 
+@pytest.mark.parametrize("raw,want", [
+    ("a&amp;&amp", "a&&amp"), ("&lt;b&gt;&lt", "<b>&lt"), ("&notit; &copy=1", "&notit; &copy=1"), ("&#65;&#66 &#x43;", "AB C"), ("&ntilde;\ue000&", "ñ\ue000&"), ("&amp;amp;", "&amp;"), ("&", "&"), ("x & y &; &#", "x & y &; &#"),
+])
+def test_references_to_characters(raw, want):
+    """Those without a semicolon are text, in texts and in attributes; scripts and comments have none."""
+    root = html.parse(f'<h1 title="{raw}">{raw}</h1><script>{raw}</script><!--{raw}-->')
+    h1, script = root.find("h1"), root.find("script")
+    assert (h1.text(), h1.attrs["title"], script.text(), root.find("#comment").data) == (want, want, raw, raw)
+
+
 def test_parse_pages(spark):
     body = '<h1> T <b>x</b></h1><div class="mw-parser-output"><div><p>inner</p></div><p class="k">no</p><p>first</p><p> </p><p>second<p>third</div><a href="/wiki/A%20B#c">l</a><a class="image" href="/wiki/C"><img src="i.png"></a>'
     redirect = '<ul id="r" class="redirectText"><li>to <a href="/wiki/B#c">B</a></ul><a href="/wiki/D">'
