@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,30 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.storage import materialise
-
-#: Arrow batches are cut into pieces of about so many characters, so that long texts don't add up.
-PIECE_CHARS = 1_500_000
-#: The C library's call that gives freed memory back to the system, where it has one.
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def give_back() -> None:
-    """Give freed memory of Arrow, numpy and Python back to the system: a worker lives on between tasks and stages, and what
-    it keeps adds up with the executor's own memory."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
-
-
-def pieces(batch: pa.RecordBatch, text_at: int = 1):
-    """Slices of ``batch``, each of about PIECE_CHARS characters of text; one very long text is a slice by itself."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
-    if not len(sizes):
-        return
-    block = (np.cumsum(sizes, dtype=np.int64) - sizes) // PIECE_CHARS
-    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(sizes)]
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(int(a), int(b - a))
+from pagemill.workers import PIECE_CHARS, give_back, pieces  # noqa: F401  for the operators
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

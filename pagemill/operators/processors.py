@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.workers import by_pieces
+
 #: page, html -> (score or None to discard the page, [(other page, score)])
 Processor = Callable[[str, str], tuple[int | None, list[tuple[str, int]]]]
 
@@ -16,6 +18,10 @@ _OUT = T.StructType([
     T.StructField("page", T.StringType()), T.StructField("score", T.LongType()), T.StructField("discarded_by", T.StringType()), T.StructField("error", T.StringType()),
     T.StructField("extras", T.ArrayType(T.StructType([T.StructField("page", T.StringType()), T.StructField("score", T.LongType())]))),
 ])
+_OUT_ARROW = pa.schema([
+    ("page", pa.string()), ("score", pa.int64()), ("discarded_by", pa.string()), ("error", pa.string()),
+    ("extras", pa.list_(pa.struct([("page", pa.string()), ("score", pa.int64())]))),
+])
 
 
 def run_processors(pages: DataFrame, processors: dict[str, Processor], known_errors: tuple[type[Exception], ...] = ()) -> DataFrame:
@@ -38,11 +44,7 @@ def run_processors(pages: DataFrame, processors: dict[str, Processor], known_err
             total += score
         return page, total, None, None, [{"page": p, "score": s} for p, s in extras]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([one(p, h) for p, h in zip(batch["page"], batch["html"])], columns=_OUT.names).astype({"score": "Int64"})
-
-    return pages.select("page", "html").mapInPandas(run, _OUT)
+    return pages.select("page", "html").mapInArrow(lambda batches: by_pieces(batches, one, _OUT_ARROW), _OUT)
 
 
 def events_of(processed: DataFrame) -> DataFrame:
