@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.workers import give_back, pieces
+
 
 def plain(text: str) -> str:
     """Compatibility-decomposed, without combining marks, lower case letter by letter."""
@@ -20,8 +21,13 @@ def plain(text: str) -> str:
 
 @F.arrow_udf(T.StringType())
 def normalize_text(text: pa.Array) -> pa.Array:
-    """``plain`` over Arrow batches; a null stays null."""
-    return pa.array([None if s is None else plain(s) for s in text.to_pylist()], pa.string())
+    """``plain`` over Arrow batches, piece by piece; a null stays null."""
+    batch = pa.RecordBatch.from_arrays([text], ["text"])
+    found = [pa.array([None if s is None else plain(s) for s in piece.column(0).to_pylist()], pa.string()) for piece in pieces(batch, 0)]
+    out = pa.concat_arrays(found) if found else pa.array([], pa.string())
+    del found
+    give_back()
+    return out
 
 
 def split_words(normal: Column | str) -> Column:

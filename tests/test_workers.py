@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from pagemill import workers
+from pagemill.functions import text
 
 
 def test_rows_are_made_piece_by_piece():
@@ -16,3 +17,18 @@ def test_rows_are_made_piece_by_piece():
     rest = list(out)
     assert [p for b in (first, *rest) for p in b.column("page").to_pylist()] == [str(i) for i in range(n)]
     assert rest[-1].schema == schema and rest[-1].column("size").to_pylist()[-1] == 0
+
+
+def test_texts_are_normalised_piece_by_piece(monkeypatch):
+    parts = []
+
+    def pieces(*args):
+        for piece in workers.pieces(*args):
+            parts.append(piece.num_rows)
+            yield piece
+
+    monkeypatch.setattr(text, "pieces", pieces)
+    long = "Á" * workers.PIECE_CHARS
+    got = text.normalize_text.func(pa.array([long, None, "É", long, ""]))
+    assert got.to_pylist() == ["a" * len(long), None, "e", "a" * len(long), ""] and len(parts) > 1
+    assert text.normalize_text.func(pa.array([], pa.string())).to_pylist() == []
